@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from murmur.llm.mixing import OP7_SQL, op7_mixing
 from murmur.llm.quality_rules import op9_quality_rules
 
 QUERIES = {
+    "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
