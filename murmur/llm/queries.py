@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from murmur.llm.mixing import OP7_SQL, op7_mixing
 from murmur.llm.quality_rules import op9_quality_rules
+from murmur.llm.secrets import op8_secret_scans
 
 QUERIES = {
     "op7_mixing": op7_mixing,
+    "op8_secret_scans": op8_secret_scans,
     "op9_quality_rules": op9_quality_rules,
 }
 
