@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from murmur.llm.mixing import OP7_SQL, op7_mixing
+from murmur.llm.ngram_join import op2_ngram_join
 from murmur.llm.packing import op6_best_fit_packing
 from murmur.llm.quality_rules import op9_quality_rules
 from murmur.llm.records import op4_token_records
 from murmur.llm.secrets import op8_secret_scans
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op4_token_records": op4_token_records,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
