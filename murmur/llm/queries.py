@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from murmur.llm.ann import op1_nearest_neighbours
 from murmur.llm.mixing import OP7_SQL, op7_mixing
 from murmur.llm.ngram_join import op2_ngram_join
 from murmur.llm.packing import op6_best_fit_packing
@@ -10,6 +11,7 @@ from murmur.llm.records import op4_token_records
 from murmur.llm.secrets import op8_secret_scans
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_ngram_join": op2_ngram_join,
     "op4_token_records": op4_token_records,
     "op6_best_fit_packing": op6_best_fit_packing,
