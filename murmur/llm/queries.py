@@ -9,10 +9,12 @@ from murmur.llm.packing import op6_best_fit_packing
 from murmur.llm.quality_rules import op9_quality_rules
 from murmur.llm.records import op4_token_records
 from murmur.llm.secrets import op8_secret_scans
+from murmur.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_ngram_join": op2_ngram_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_records": op4_token_records,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
