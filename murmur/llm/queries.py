@@ -8,6 +8,7 @@ from murmur.llm.ngram_join import op2_ngram_join
 from murmur.llm.packing import op6_best_fit_packing
 from murmur.llm.quality_rules import op9_quality_rules
 from murmur.llm.records import op4_token_records
+from murmur.llm.resampling import op5_quality_resampling
 from murmur.llm.secrets import op8_secret_scans
 from murmur.llm.substring_dedup import op3_substring_dedup
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_records": op4_token_records,
+    "op5_quality_resampling": op5_quality_resampling,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
     "op8_secret_scans": op8_secret_scans,
