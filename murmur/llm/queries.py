@@ -6,6 +6,7 @@ from murmur.llm.ann import op1_nearest_neighbours
 from murmur.llm.mixing import OP7_SQL, op7_mixing
 from murmur.llm.ngram_join import op2_ngram_join
 from murmur.llm.packing import op6_best_fit_packing
+from murmur.llm.pii import op10_pii_surrogates
 from murmur.llm.quality_rules import op9_quality_rules
 from murmur.llm.records import op4_token_records
 from murmur.llm.resampling import op5_quality_resampling
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_secret_scans": op8_secret_scans,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -79,7 +79,12 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
             tokens.forget()
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    in_order = plain.repartitionByRange("id").sortWithinPartitions("id")
+    # bounds from the ids alone: repartitionByRange would read all texts once more to draw its sample
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = plain.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], F.lit(20 * parts)).alias("b")).first()["b"] or []
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
+    range_of = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col("id"))))
+    in_order = plain.repartitionById(len(set(bounds)) + 1, range_of.cast("int")).sortWithinPartitions("id")
     in_order.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 

@@ -23,6 +23,8 @@ _WITH_SPACE = re.compile(f"[{_SPACE}]*(?:[{_LETTER}]+(?=[{_NO_LETTER}]|$)|[^{_SP
 _WITHOUT = re.compile(f"[{_LETTER}]+(?=[{_NO_LETTER}]|$)|[^{_SPACE}]+")
 
 
+#: A character outside Latin letters, digits and signs that lower case maps one to one.
+_NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: A piece that is one word for any tokenizer.
 _WORD = re.compile(f" ?[{_LETTER}]+").fullmatch
 _PROBES = ("a", " a", "word", " Word", " ñandú", "Élan", " thntonble")
@@ -63,6 +65,8 @@ class TextEncoder:
         drops_spaces = self.whole("a b") == self.whole("a") + self.whole("b")
         self.cut = (_WITHOUT if drops_spaces else _WITH_SPACE).findall
         self.model, self.normalizer, self.characters = self.tokenizer.model, self.tokenizer.normalizer, _byte_characters()
+        latin = [c for c in map(chr, range(0x250)) if re.match(f"[{_LETTER}]", c)]
+        self.lowers = self.normalizer is not None and all(self.normalizer.normalize_str(c) == c.lower() for c in latin)
         probes = [p.strip() for p in _PROBES] if drops_spaces else _PROBES
         self.words_alone = all(self._word(p) == self.whole(p) for p in probes)
 
@@ -71,13 +75,17 @@ class TextEncoder:
 
     def _word(self, word: str) -> bytes:
         """A single word goes to the library's model without the steps that whole texts need."""
-        if self.normalizer is not None:
+        if self.lowers:
+            word = word.lower()
+        elif self.normalizer is not None:
             word = self.normalizer.normalize_str(word)
         return array(self.kind, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _UNSURE.search(text):
             return self.whole(text)
+        if self.lowers and not _NOT_LATIN.search(text):
+            text = text.lower()  # fewer distinct pieces
         pieces, known = self.cut(text), self.known
         found = list(map(known.__getitem__, pieces))
         if known.missing:
