@@ -61,6 +61,12 @@ def ensure_checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="murmur-checkpoint-"))
 
 
+def checkpoint_path(spark, name: str) -> str:
+    """A path for a written table in the shared folder of checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmur.llm.common import ensure_checkpoint_dir
+from murmur.llm.common import checkpoint_path
 from murmur.llm.tokens import encoder
 
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
@@ -151,7 +151,6 @@ def shuffled_records(index: DataFrame, seed: int = 0) -> DataFrame:
 def op4_token_records(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/records-{uuid.uuid4().hex}"
+    path = checkpoint_path(spark, f"records-{uuid.uuid4().hex}")
     write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "size")
