@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -73,6 +74,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_finished_shuffles(spark) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more.
+
+    Spark deletes them as the driver collects its garbage, which a long job of small plans may not do for half an
+    hour. To be called after a checkpoint, once no variable holds the frame that was checkpointed.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def single_threaded_tokenizers() -> None:
     """Spark runs a task a core; the tokenizers library shall not start threads beside that."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmur.llm.common import WordHashes, checkpoint, mix64, ngram_hashes
+from murmur.llm.common import WordHashes, checkpoint, drop_finished_shuffles, mix64, ngram_hashes
 from murmur.llm.components import connected_components
 
 #: A digest of more classes than this is chained instead of paired.
@@ -211,8 +211,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sent = plain.mapInArrow(_incidence(n, percent), "key long, class long, doc_id long, size int")
     sent = sent.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key")))
     sent = checkpoint(sent.filter("size IS NOT NULL OR met > 1").drop("met"))
+    drop_finished_shuffles(docs.sparkSession)
     rows = sent.filter("size IS NOT NULL").select("doc_id", "class", "size")
     clusters = connected_components(_candidates(sent.filter("size IS NULL").select("key", "class")))
+    drop_finished_shuffles(docs.sparkSession)
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.max("size").alias("size"))
 
     weight = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_NGRAMS)
@@ -230,6 +232,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     hashed = _sets(n, plain.join(members.withColumnRenamed("class_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "cluster", "block", "text"))
     found = checkpoint(hashed.join(tasks, ["cluster", "block"]).select("task", "cluster", "low", "high", "class", "block", "grams").groupBy("task").applyInArrow(_linked(percent), "class long, root long, links long"))
+    drop_finished_shuffles(docs.sparkSession)
     parts = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     degrees = found.groupBy("class").agg(F.sum("links").alias("n_links"))
     named = classes.join(parts.select(F.col("vertex").alias("class"), "label"), "class", "left").join(degrees, "class", "left").select("class", "class_id", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
