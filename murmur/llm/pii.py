@@ -9,7 +9,10 @@ format it is written (coreference).
 Collision checks: all distinct entities of the corpus are held against each other and against the surrogates,
 and of those that share a surrogate, or whose surrogate is someone's real value, all but the first try the next
 hash, until none is left (distinctness). These are counts over entities, with partial sums; a document's
-entities are the largest group. Texts are moved once, to meet the surrogates of their own entities.
+entities are the largest group. The first SAME_LENGTH tries keep the length; from then on each try has more
+characters than the one before (a subdomain, syllables, digits at the end; for IPv4 the reserved range 240/4 and
+then the documentation range of IPv6), so that the rounds end however few surrogates of one length there are or are
+left free by real values. Texts are moved once, to meet the surrogates of their own entities.
 
 Defined results: null and empty texts have no entities and stay as they are; rows are told apart by id and text
 (a null id is an id), so ties and repeated rows get equal results; extra columns are kept by
@@ -18,6 +21,8 @@ Defined results: null and empty texts have no entities and stay as they are; row
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +39,9 @@ FIRST_NAMES = {
 }
 SYLLABLES = {"latin": ("ba", "den", "fel", "gar", "hol", "kim", "lan", "mor", "nel", "pas", "ric", "sol", "tan", "ver", "wil", "zan"), "cyrillic": ("ба", "вер", "гор", "дин", "зан", "кол", "лан", "мор", "нел", "пас", "рин", "сол", "тан", "фил", "хар", "чен")}
 
+#: Tries that keep an entity's length; each one after that has a larger space than the one before.
+SAME_LENGTH = 4
+
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind -> pattern; where several match at a place, the first counts.
@@ -53,9 +61,9 @@ def _characters(s: Column) -> Column:
     return F.split(s, "")
 
 
-def _pick(values, h: Column, at: int) -> Column:
+def _pick(values, h: Column, at: int | Column) -> Column:
     """One of a few values by two hex digits of a hash."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(h, at, 2), 16, 10).cast("int") % len(values) + 1))
+    return F.element_at(F.array(*map(F.lit, values)), (F.conv(F.substring(h, at, F.lit(2) if isinstance(at, Column) else 2), 16, 10).cast("int") % len(values) + 1))
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -100,48 +108,55 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of an entity in canonical form."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
     digits = F.translate(F.concat(h, F.reverse(h)), "abcdef", "135790")
-    n = F.length(value)
+    n, more = F.length(value), F.greatest(F.lit(0), attempt - (SAME_LENGTH - 1))
     take = lambda at, k: F.substring(digits, at, k)
     octet = lambda at: (F.conv(F.substring(h, at, 2), 16, 10).cast("int")).cast("string")
 
-    body = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(2), n - 2))
+    body = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(2), n - 2 + more))
     card = F.concat(body, ((10 - _luhn_sum(body, 1) % 10) % 10).cast("string"))
     account = F.array_join(F.transform(_characters(F.substring(value, 5, 40)), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, i + 1, F.lit(1))).otherwise(F.substring(F.translate(F.upper(h), "0123456789", "GHIJKLMNOP"), i + 1, F.lit(1)))), "")
+    account = F.concat(account, F.substring(digits, F.lit(65), more))
     check = 98 - _mod_97(F.concat(F.substring(value, 1, 2), F.lit("00"), account))
     iban = F.concat(F.substring(value, 1, 2), F.lpad(check.cast("string"), 2, "0"), account)
     # fictional numbers: exchange 555 of the North American plan; elsewhere the country's first digits stay
     area = F.concat(_pick("23456789", h, 1), take(3, 2))
     national, american = n == 10, (n == 11) & value.startswith("1")
-    phone = F.when(american, F.concat(F.lit("1"), area, F.lit("555"), take(7, 4))).when(national, F.concat(area, F.lit("555"), take(7, 4))).otherwise(F.concat(F.substring(value, 1, 3), F.substring(digits, F.lit(1), n - 3)))
+    fictional = F.concat(area, F.lit("555"), F.substring(digits, F.lit(7), 4 + more))
+    phone = F.when(american, F.concat(F.lit("1"), fictional)).when(national, fictional).otherwise(F.concat(F.substring(value, 1, 3), F.substring(digits, F.lit(1), n - 3 + more)))
     letters = F.translate(F.concat(h, F.reverse(h)), "0123456789", "ghijklmnop")
     local = F.substring_index(value, "@", 1)
     written = F.transform(_characters(local), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, i % 64 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substring(letters, i % 64 + 1, F.lit(1))).otherwise(c))
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.substring_index(value, "@", -1)), 256)
-    email = F.concat(F.array_join(written, ""), F.lit("@mail"), F.substring(F.translate(domain, "abcdef", "135790"), 1, 6), F.lit(".example.org"))
+    below = F.when(more > 0, F.concat(F.substring(F.reverse(letters), F.lit(1), 2 * more), F.lit("."))).otherwise(F.lit(""))
+    email = F.concat(F.array_join(written, ""), F.lit("@"), below, F.lit("mail"), F.substring(F.translate(domain, "abcdef", "135790"), 1, 6), F.lit(".example.org"))
     title = F.substring_index(value, " ", 1)
     female, cyrillic = title.isin(*TITLES["f"]), F.regexp_replace(value, "^[^ ]+ ", "").rlike(r"\p{IsCyrillic}")
     first = F.when(cyrillic, F.when(female, _pick(FIRST_NAMES["cyrillic f"], h, 1)).otherwise(_pick(FIRST_NAMES["cyrillic m"], h, 1))).otherwise(F.when(female, _pick(FIRST_NAMES["latin f"], h, 1)).otherwise(_pick(FIRST_NAMES["latin m"], h, 1)))
-    made = {s: F.initcap(F.concat(*[_pick(SYLLABLES[s], h, 2 * i + 3) for i in range(4)])) for s in SYLLABLES}
+    made = {s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(30), 3 + more)), lambda i: _pick(SYLLABLES[s], h, 2 * i + 3)), "")) for s in SYLLABLES}
     last = F.when(cyrillic, made["cyrillic"]).otherwise(made["latin"])
     # a title and one name has a surname only
     person = F.when(F.size(F.split(value, " ")) > 2, F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
+    reserved = F.concat_ws(".", (240 + F.conv(F.substring(h, 7, 1), 16, 10).cast("int")).cast("string"), octet(1), octet(3), octet(5))
+    wide = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(h, i, 4) for i in range(1, 25, 4)])
+    ip = F.when(more == 0, F.concat_ws(".", F.lit("10"), octet(1), octet(3), octet(5))).when(more <= SAME_LENGTH, reserved).otherwise(wide)
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(3), octet(5)))
+        .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "iban", iban)
         .when(kind == "phone", phone)
-        .when(kind == "ssn", F.concat(F.lit("9"), take(1, 8)))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, F.lit(1), 8 + more)))
         .otherwise(person)
     )
 
 
 def written_as(match: Column, kind: Column, new: Column) -> Column:
-    """A surrogate in the format of the match: separators stay, digits are filled in; a title keeps its dot."""
+    """A surrogate in the format of the match: separators stay, digits are filled in, those of a longer surrogate at the end; a title keeps its dot."""
     places = F.transform(_characters(match), lambda c: F.when(c.rlike("[0-9]"), 1).otherwise(0))
     filled = F.transform(_characters(match), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, F.aggregate(F.slice(places, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x), F.lit(1))).otherwise(c))
     dotted = F.when(match.rlike(r"^[^ ]+\. "), F.regexp_replace(new, "^([^ ]+) ", "$1. ")).otherwise(new)
-    return F.when(kind.isin("phone", "card", "ssn"), F.array_join(filled, "")).when(kind == "person", dotted).otherwise(new)
+    beyond = F.substring(new, F.length(F.regexp_replace(match, "[^0-9]", "")) + 1, F.length(new))
+    return F.when(kind.isin("phone", "card", "ssn"), F.concat(F.array_join(filled, ""), beyond)).when(kind == "person", dotted).otherwise(new)
 
 
 def _matches(text: Column) -> Column:
@@ -150,11 +165,11 @@ def _matches(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), canonical(x["kind"], x["match"]).alias("value"), x["match"].alias("match")))
 
 
-def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value) of distinct entities -> the same with new, no two alike within a kind and none a real value."""
     pending, done = checkpoint(entities.withColumn("attempt", F.lit(0))), None
     real = pending.select("kind", F.col("value").alias("new"))
-    for _ in range(rounds):
+    for _ in count():
         tried = pending.withColumn("new", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")))
         taken = real if done is None else real.unionByName(done.select("kind", "new"))
         turn = F.row_number().over(Window.partitionBy("kind", "new").orderBy("value"))
@@ -165,7 +180,6 @@ def distinct_surrogates(entities: DataFrame, key: str, rounds: int = 20) -> Data
         pending = tried.filter(~free).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return done
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", count_col: str | None = None) -> DataFrame:

@@ -88,6 +88,22 @@ def test_surrogates_stay_distinct(spark):
     assert len(new) == len(set(new)) == 3000
 
 
+def test_surrogates_of_small_spaces(spark):
+    """More entities than surrogates of their length: short addresses, a full prefix of phones, names of one title."""
+    mails = [("email", f"{a}@example.com") for a in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{a}{b}@b.org") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijkl"]
+    phones = [("phone", str(10000 + i)) for i in range(100)]
+    few = spark.createDataFrame(mails + phones, "kind string, value string")
+    names = spark.range(70_000).selectExpr("'person' AS kind", "concat('Mr N', translate(id, '0123456789', 'abcdefghij')) AS value")
+    for entities in (few, names):
+        got = distinct_surrogates(entities, "murmur").collect()
+        new = {(r["kind"], r["new"]) for r in got}
+        assert len(new) == len(got) == entities.count()
+        assert not new & {(r["kind"], r["value"]) for r in got}
+    texts = spark.createDataFrame([(i, f"write to {v} or +{10000 + i} now") for i, (_, v) in enumerate(mails[:100])], "doc_id long, text string")
+    seen = [r["text"] for r in with_surrogates(texts, "murmur").collect()]
+    assert len(set(seen)) == 100 and all(re.fullmatch(r"write to [a-p]{1,2}@[a-p.]*mail\d{6}\.example\.org or \+100\d{2,} now", t) for t in seen)
+
+
 def test_surrogates_edges(edge, edge_rows, empty):
     got = with_surrogates(edge, "k")
     assert got.columns == edge.columns
