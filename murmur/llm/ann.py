@@ -6,6 +6,11 @@ keeps a beam of the best partial sums. With the norm of the sum stored, the squa
 ``|q|^2 - 2 * sum of M looked-up products + norm``, so a query scores a vector by M additions. The best
 ``rerank`` codes of a query get their exact distance on the original vectors, in double precision.
 
+Where the codes do not settle what is beyond these (a group of copies or near copies that share codes is larger
+than ``rerank``), the search goes on: the k-th exact distance so far and the error stored with each code tell which
+rows may still be among the k nearest, and all of them are ranked exactly. They travel once for each block of
+queries; a task sends its k nearest of each query.
+
 Every row is coded; codes are M bytes and a norm. Codes are scored in their own partitions against blocks of
 queries; each task sends its best candidates of each query only, and these are merged by windows over (query,
 salt) before (query). The codebooks (M * K words) are the only thing that is broadcast, and of fixed size.
@@ -33,6 +38,8 @@ BOOKS, WORDS, BEAM = 16, 256, 8
 SAMPLE = 10_000
 #: Codes of a query that are ranked exactly.
 RERANK = 640
+#: Standard deviations of a code's distance within which a row may still be nearer than the k-th found.
+MARGIN = 3.0
 #: Queries that a task scores together.
 QUERY_BLOCK = 2048
 
@@ -101,11 +108,14 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, beam: int = BEAM, block:
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS, beam: int = BEAM) -> tuple[DataFrame, np.ndarray | None]:
-    """(id, codes, norm, vector) of every usable row, and the codebooks; None of an empty table."""
+    """(id, codes, norm, error, vector) of every usable row, and the codebooks; None of an empty table.
+
+    norm is the squared length of the coded sum, error its squared distance to the vector.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(usable(F.col("vector")))
     drawn = rows.select(F.xxhash64("id", "vector").alias("turn"), F.col("vector").cast("array<double>").alias("vector")).orderBy("turn").limit(sample).toPandas()["vector"]
     if not len(drawn):
-        return rows.select("id", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"), "vector"), None
+        return rows.select("id", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("error"), "vector"), None
     sizes = drawn.map(len)
     dimension = int(sizes.mode()[0])
     codebooks = train(np.stack(drawn[sizes == dimension].to_list()), books, min(words, 256), beam)
@@ -119,59 +129,125 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int =
             codes = encode(x, shared.value, beam)
             sums = shared.value[np.arange(books)[None, :], codes].sum(1)
             packed = [c.tobytes() for c in codes.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array((sums * sums).sum(1)), batch.column(1)], names=["id", "codes", "norm", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array((sums * sums).sum(1)), pa.array(((x - sums) ** 2).sum(1)), batch.column(1)], names=["id", "codes", "norm", "error", "vector"])
 
     kind = vectors.schema[vector_col].dataType.simpleString()
-    return rows.filter(F.size("vector") == dimension).mapInArrow(coded, f"id long, codes binary, norm double, vector {kind}"), codebooks
+    return rows.filter(F.size("vector") == dimension).mapInArrow(coded, f"id long, codes binary, norm double, error double, vector {kind}"), codebooks
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long lists as a matrix of doubles; at least one row."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def _smallest(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest finite scores, ties by id."""
+    if len(score) > n:
+        edge = np.partition(score, n - 1)[n - 1]
+        inside, tied = np.flatnonzero(score < edge), np.flatnonzero(score == edge)
+        keep = np.concatenate([inside, tied[np.argsort(ids[tied], kind="stable")][: n - len(inside)]])
+    else:
+        keep = np.arange(len(score))
+    return keep[np.isfinite(score[keep])]
 
 
 def search(index: DataFrame, codebooks: np.ndarray | None, queries: DataFrame, k: int = 10, rerank: int = RERANK, block: int = QUERY_BLOCK) -> DataFrame:
     """queries: (id, vector) -> (query_id, rank, id, score): the k nearest found, the query's own row left out.
 
-    Query blocks meet every partition of codes; a task keeps ``rerank`` codes of each of its queries.
+    Query blocks meet every partition of codes; a task keeps ``rerank`` codes of each of its queries. Rows beyond
+    these that may be nearer by their code are found in a second pass and ranked exactly.
     """
     spark = index.sparkSession
     if codebooks is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    books = len(codebooks)
+    books, _, dimension = codebooks.shape
     shared = spark.sparkContext.broadcast(codebooks)
     parts = max(1, index.rdd.getNumPartitions())
     asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     n_blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
     # each share of the codes, drawn by hash, meets each block of queries; it has about rerank / parts of a query's
-    # best codes, and never comes near the margin that it may send
+    # best codes, and what is beyond the number that it may send is left to the second pass
     send = min(rerank, 3 * -(-rerank // parts) + 64)
-    cells = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    codes = index.withColumn("cell", F.pmod(F.xxhash64("id", "norm"), F.lit(parts)).cast("int")).select("cell", "id", "codes", "norm", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    share = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell")
+    cell = F.pmod(F.xxhash64("id", "norm"), F.lit(parts)).cast("int").alias("cell")
+    codes = index.select(cell, "id", "codes", "norm", "error", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+
+    def scores(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place, query, squared distance to each code less that of the query to zero) of each query."""
+        q, n = _matrix(left.column("query")), right.num_rows
+        code = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(n, books)
+        norm, ids = right.column("norm").to_numpy().astype(np.float32), right.column("id").to_numpy()
+        for i, own in enumerate(left.column("query_id").to_numpy()):
+            table = np.einsum("d,mkd->mk", q[i], shared.value).astype(np.float32)
+            score = norm.copy()
+            for m in range(books):
+                score -= 2 * table[m][code[:, m]]
+            score[ids == own] = np.inf
+            yield i, q[i], score
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        q = left.column("query").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(left.num_rows, -1).astype(np.float64) if left.num_rows else np.empty((0, 1))
-        n = right.num_rows
         found: list[np.ndarray] = []
-        if len(q) and n:
-            code = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(n, books)
-            norm, ids = right.column("norm").to_numpy().astype(np.float32), right.column("id").to_numpy()
-            table = np.einsum("qd,mkd->qmk", q, shared.value).astype(np.float32)
-            for i, own in enumerate(left.column("query_id").to_numpy()):
-                score = norm.copy()
-                for m in range(books):
-                    score -= 2 * table[i, m][code[:, m]]
-                score[ids == own] = np.inf
-                keep = np.argpartition(score, send)[:send] if n > send else np.arange(n)
-                keep = keep[np.isfinite(score[keep])]
-                found.append(np.stack([np.full(len(keep), own, np.int64), ids[keep], score[keep].astype(np.float64).view(np.int64)]))
+        if left.num_rows and right.num_rows:
+            names, ids = left.column("query_id").to_numpy(), right.column("id").to_numpy()
+            for i, _, score in scores(left, right):
+                keep = _smallest(score, ids, send)
+                found.append(np.stack([np.full(len(keep), names[i], np.int64), ids[keep], score[keep].astype(np.float64).view(np.int64)]))
         q_id, c_id, bits = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
         return pa.table({"query_id": q_id, "id": c_id, "guess": bits.view(np.float64)})
 
-    guesses = cells.groupBy("block", "cell").cogroup(codes.groupBy("block", "cell")).applyInArrow(scored, "query_id long, id long, guess double")
+    def unsettled(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The rows that a query of the block has not ranked exactly, while they may be among its k nearest."""
+        ids, open_ = right.column("id").to_numpy(), np.zeros(right.num_rows, bool)
+        if left.num_rows and right.num_rows:
+            error, norm = right.column("error").to_numpy(), right.column("norm").to_numpy()
+            radius, last = left.column("radius").to_numpy(), left.column("last").to_numpy()
+            for i, q, score in scores(left, right):
+                # the code's squared distance is that of the row, plus the error, plus twice their product
+                size = q @ q
+                slack = 1e-5 * (size + norm)
+                near = size + score <= radius[i] ** 2 + error + 2 * MARGIN * radius[i] * np.sqrt(error / dimension) + slack
+                sent = np.zeros(len(ids), bool)
+                sent[_smallest(score, ids, send)] = True
+                open_ |= (near | np.isinf(radius[i])) & np.isfinite(score) & (~sent | (score >= last[i] - slack))
+        ids = np.unique(ids[open_])
+        block = left.column("block")[0].as_py() if len(ids) else 0
+        return pa.table({"block": pa.array(np.full(len(ids), block, np.int32)), "id": ids})
+
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if left.num_rows and right.num_rows:
+            names, ids, x = left.column("query_id").to_numpy(), right.column("id").to_numpy(), _matrix(right.column("vector"))
+            for i, q in enumerate(_matrix(left.column("query"))):
+                far = ((x - q) ** 2).sum(1)
+                far[ids == names[i]] = np.inf
+                keep = _smallest(far, ids, k)
+                found.append(np.stack([np.full(len(keep), names[i], np.int64), ids[keep]]))
+        q_id, c_id = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"query_id": q_id, "id": c_id})
+
+    def ranked(chosen: DataFrame) -> DataFrame:
+        pairs = chosen.distinct().join(index.select("id", "vector"), "id").join(asked.select("query_id", "query"), "query_id")
+        squares = F.zip_with(F.col("vector").cast("array<double>"), F.col("query").cast("array<double>"), lambda a, b: (a - b) * (a - b))
+        exact = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+        order = Window.partitionBy("query_id").orderBy("score", "id")
+        return pairs.select("query_id", "id", exact.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
+
+    guesses = asked.select("*", share).groupBy("block", "cell").cogroup(codes.groupBy("block", "cell")).applyInArrow(scored, "query_id long, id long, guess double")
     best = Window.partitionBy("query_id").orderBy("guess", "id")
-    chosen = guesses.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= rerank).select("query_id", "id")
-    pairs = chosen.join(index.select("id", "vector"), "id").join(asked.select("query_id", "query"), "query_id")
-    squares = F.zip_with(F.col("vector").cast("array<double>"), F.col("query").cast("array<double>"), lambda a, b: (a - b) * (a - b))
-    exact = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
-    ranked = Window.partitionBy("query_id").orderBy("score", "id")
-    return pairs.select("query_id", "id", exact.alias("score")).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")
+    chosen = guesses.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= rerank)
+    last = checkpoint(chosen.groupBy("query_id").agg(F.max("guess").alias("last")))
+    first = checkpoint(ranked(chosen.select("query_id", "id")))
+    # fewer rows than k leave the radius open
+    radius = first.groupBy("query_id").agg(F.when(F.max("rank") == k, F.max("score")).otherwise(F.lit(float("inf"))).alias("radius"))
+    known = asked.join(radius, "query_id").join(last, "query_id")
+    left_over = known.select("*", share).groupBy("block", "cell").cogroup(codes.groupBy("block", "cell")).applyInArrow(unsettled, "block int, id long")
+    left_over = checkpoint(left_over)
+    if left_over.isEmpty():
+        return first
+    rows = index.select("id", cell, "vector").join(left_over.distinct(), "id")
+    more = asked.select("*", share).groupBy("block", "cell").cogroup(rows.groupBy("block", "cell")).applyInArrow(measured, "query_id long, id long")
+    return ranked(first.select("query_id", "id").unionByName(more))
 
 
 def op1_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

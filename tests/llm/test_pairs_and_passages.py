@@ -99,6 +99,31 @@ def test_search_recall(spark, sf):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_search_recall_in_a_hot_group(spark):
+    """Copies and near copies of one vector, more than are reranked: their codes do not tell them apart."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[:1500] = x[0] + 0.001 * rng.normal(size=(1500, 16))
+    x[1500:2500] = x[1500]
+    ids = rng.permutation(6000)
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(3)
+    index, books = ann.build_index(frame, "vec_id", "embedding", sample=2000, books=4, words=64)
+    index = ann.checkpoint(index)
+    asked = [int(ids[i]) for i in (*range(0, 1500, 100), *range(1500, 2500, 100), *range(2500, 6000, 300))]
+    got = {}
+    for r in ann.search(index, books, index.filter(ann.F.col("id").isin(asked)).select("id", "vector")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    exact = x.astype(np.float64)
+    hits = []
+    for q in asked:
+        far = np.sqrt(((exact - exact[ids == q]) ** 2).sum(1))
+        want = [int(i) for i in ids[np.lexsort((ids, far))] if i != q][:10]
+        hits.append(len(set(want) & set(got[q].values())))
+    assert min(hits[:15]) >= 9 and sum(hits[:15]) >= 148  # near copies
+    assert hits[15:25] == [10] * 10  # copies: the smallest ids
+    assert sum(hits[25:]) >= 0.9 * 10 * len(hits[25:])
+
+
 def test_search_edges(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0])]
     good = [(100, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [3.0, 4.0])]
