@@ -4,6 +4,8 @@ A gear hash rolls over the UTF-8 bytes of every whole text; a chunk ends where i
 start of a character and at least MIN bytes after the last end. Ends depend on the 32 bytes before them only, so
 chunks inside a repeated passage are the same however much was inserted before it. Chunks that two or more
 documents have (by digest) are repeats; runs of neighbouring repeats of enough words are the repeated passages.
+Of a document's runs, those stretches are cut whose chunks all have a smaller id's document as their first; a chunk
+is never cut in its first document, so nothing is lost from all of them.
 A run misses up to a chunk of the passage at either side, so ``min_words`` is set below the length to be found.
 
 Digests are counted with partial sums before any shuffle; the join that marks a document's chunks can be split
@@ -28,6 +30,7 @@ MIN, BITS, MAX = 16, 5, 512
 #: Fewest words of a run that is reported: passages of over 50 words less a chunk on either side.
 MIN_WORDS = 25
 SPANS = "array<struct<start:int,end:int,words:int,first_doc:bigint>>"
+CUTS = "array<struct<start:int,end:int>>"
 
 
 def gear_table(seed: int = 11) -> np.ndarray:
@@ -110,6 +113,7 @@ def _runs(min_words: int):
             rows = []
             for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans: list[list[int]] = []
+                others: list[list[list[int]]] = []  # of each span, the stretches that other documents have first
                 for x in found:
                     start, size, words = x["place"] >> 24, x["place"] >> 12 & 0xFFF, x["place"] & 0xFFF
                     if spans and spans[-1][1] == start:
@@ -118,32 +122,43 @@ def _runs(min_words: int):
                         spans[-1][3] = min(spans[-1][3], x["first"])
                     elif not spans or spans[-1][1] < start:
                         spans.append([start, start + size, words, x["first"]])
+                        others.append([])
+                    else:
+                        continue
+                    if x["first"] != doc:
+                        if others[-1] and others[-1][-1][1] == start:
+                            others[-1][-1][1] = start + size
+                            others[-1][-1][2] += words
+                        else:
+                            others[-1].append([start, start + size, words])
+                cuts = [o for s, own in zip(spans, others) if s[2] >= min_words for o in own if o[2] >= min_words]
                 spans = [s for s in spans if s[2] >= min_words]
                 if spans:
-                    rows.append((doc, [dict(zip(("start", "end", "words", "first_doc"), s)) for s in spans]))
+                    rows.append((doc, [dict(zip(("start", "end", "words", "first_doc"), s)) for s in spans], [dict(zip(("start", "end"), c)) for c in cuts]))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind)], names=["doc_id", "spans"])
+            cut = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], cut)], names=["doc_id", "spans", "cuts"])
 
     return runs
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, spans) of the documents that have a passage in common with another; start and end are UTF-8 byte offsets.
+    """(doc_id, spans, cuts) of the documents that have a passage in common with another; start and end are UTF-8 byte offsets.
 
-    first_doc is the smallest id among the documents of the run's chunks; where it is the document itself, the
-    passage is the copy to keep.
+    first_doc is the smallest id among the documents of the run's chunks. cuts are the stretches of at least
+    ``min_words`` words that documents of smaller ids hold; the rest of the run is the copy to keep.
     """
     plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
     cut = plain.mapInArrow(_chunk_rows, "digest long, doc long, place long")
     held = cut.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     repeats = held.filter("first != last").select("digest", "first")
     marked = cut.join(repeats, "digest").select("doc", F.struct("place", "first").alias("at"))
-    return marked.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("found")).mapInArrow(_runs(min_words), f"doc_id long, spans {SPANS}")
+    return marked.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("found")).mapInArrow(_runs(min_words), f"doc_id long, spans {SPANS}, cuts {CUTS}")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with every repeated passage cut out but in the document of the smallest id; all columns kept."""
-    found = repeated_passages(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.filter("spans", lambda s: s["first_doc"] != F.col("doc_id")).alias("__spans"))
+    found = repeated_passages(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__spans"))
     raw = F.encode(F.col(text_col), "UTF-8")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").cast("binary").alias("out"))
     step = lambda t, s: F.struct(s["end"].alias("at"), F.concat(t["out"], F.substring(raw, t["at"] + 1, s["start"] - t["at"])).alias("out"))
@@ -154,5 +169,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    again = F.filter("spans", lambda s: s["first_doc"] != F.col("doc_id"))
-    return found.select("doc_id", F.size("spans").alias("n_passages"), F.aggregate("spans", F.lit(0), lambda t, s: t + s["words"]).alias("n_words"), F.aggregate(again, F.lit(0), lambda t, s: t + s["end"] - s["start"]).alias("n_bytes_cut"), "spans")
+    return found.select("doc_id", F.size("spans").alias("n_passages"), F.aggregate("spans", F.lit(0), lambda t, s: t + s["words"]).alias("n_words"), F.aggregate("cuts", F.lit(0), lambda t, s: t + s["end"] - s["start"]).alias("n_bytes_cut"), "spans")

@@ -175,6 +175,21 @@ def test_passages_resist_insertions(spark):
     assert all(out[100 + i] == data[12 + i][1] for i in range(12))
 
 
+def test_adjoining_passages_stay_somewhere(spark):
+    """Q is first in document 5, P beside it in document 10: both stay in one document each."""
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 90_000, n))
+    q, p = words(120), words(120)
+    data = [(5, f"{words(40)} {q} {words(40)}"), (10, f"{words(40)} {q} {p} {words(40)}"), (20, f"{words(40)} {q} {p} {words(40)}")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in without_repeats(frame).collect()}
+    core = lambda x: " ".join(x.split()[30:-30])
+    assert [d for d in (5, 10, 20) if core(q) in out[d]] == [5]
+    assert [d for d in (5, 10, 20) if core(p) in out[d]] == [10]
+    spans = {r["doc_id"]: r["spans"] for r in repeated_passages(frame).collect()}
+    assert [len(spans[d]) for d in (5, 10, 20)] == [1, 1, 1] and spans[10][0]["first_doc"] == 5
+
+
 def test_passages_edges(edge, edge_rows, empty):
     got = without_repeats(edge)
     assert got.columns == edge.columns
