@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Words are maximal runs outside these six ASCII characters; ``bytes.split()`` cuts at the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,10 +55,12 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where none is set."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; only a local session may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="murmur-checkpoint-"))
 
 
@@ -74,14 +76,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def drop_finished_shuffles(spark) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more.
+#: Slots of the bitmap that ``possible_members`` broadcasts: 8 MB, whatever the number of members.
+SLOTS = 1 << 26
 
-    Spark deletes them as the driver collects its garbage, which a long job of small plans may not do for half an
-    hour. To be called after a checkpoint, once no variable holds the frame that was checkpointed.
+
+def possible_members(frame: DataFrame, key: Column, members: Column, table: DataFrame) -> DataFrame:
+    """frame with a column __possible: false means that key is null or surely not among the members of table.
+
+    A bitmap of SLOTS bits over hashed keys is built with partial sums and broadcast, 4 KB a row. Its size is
+    fixed; with more members than slots it lets more rows through, so a join must still follow.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)) + 1
+    bits = table.select(slot(members).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    at = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = (F.call_function("shiftright", byte, (at % 8).cast("int")) % 2) == 1
+    joined = frame.join(F.broadcast(bits), F.bitmap_bucket_number(slot(key)) == F.col("__bucket"), "left")
+    return joined.withColumn("__possible", F.coalesce(held, F.lit(False)) & key.isNotNull()).drop("__bucket", "__bits")
 
 
 def single_threaded_tokenizers() -> None:

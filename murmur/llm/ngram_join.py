@@ -3,19 +3,24 @@
 1. A text's set of n-gram hashes is a row of the incidence matrix; equal rows (exact copies of a set) are one
    class and take part once.
 2. Column blocks. Sizes fall into buckets by the threshold t, and a linked pair differs in at most
-   D = (1 - t) / (1 + t) * (size sum) n-grams. The hash range is cut into more than D blocks of columns, so a
-   linked pair must agree on several whole blocks; a class sends a digest of each of its blocks. A block holds
-   about five n-grams, so an n-gram or a passage that very many texts share is no hot key: the others in its
-   block tell the texts apart. Blocks empty on both sides agree as well; a bound on a class's empty blocks says
-   when they could be all that agrees, and only then they are sent (``_block_keys``).
-3. Candidates. Pairs within a digest of few classes need two agreeing digests; within a digest of many, classes
-   are chained in order, so that nothing grows with the square of a group. The components of these candidate
-   links (clusters) hold every linked pair.
-4. Row blocks. A cluster is cut, in order of size, into row blocks of bounded n-grams; every pair of row blocks
-   whose sizes allow a link is one product. The product runs over column chunks, accumulates overlap counts and
-   stops when no pair can reach its size-derived bound any more. Links are exact.
-5. Links are contracted within a product to one edge a class; components over these edges are the result.
-
+   D = (1 - t) / (1 + t) * (size sum) n-grams. The hash range is cut into blocks of columns; a class sends a digest
+   of its n-grams in a block, and a linked pair agrees on at least two blocks. Small sets have D and a few blocks
+   more, and send them all, so that two must agree (blocks empty on both sides agree as well; a bound on a class's
+   empty blocks says when they could be all that agrees, and only then they are sent). For larger sets the first
+   ``drawn_blocks`` of about 2 D blocks are enough: hashes scatter the D differences, and that all but one of those
+   blocks hold one, or nothing, has odds of less than 10^-14 for a pair at the threshold and less above it, which is
+   of the order of two sets sharing a 64-bit digest. A block holds several n-grams, so an n-gram or a passage that
+   very many texts share is no hot key: the others in its block tell the texts apart.
+3. Candidates. Pairs within a digest of few classes need two agreeing digests; within a digest of many, all are
+   tied to the smallest class, so that nothing grows with the square of a group. A task sends the digests of a
+   class once. The components of these candidate links (clusters) hold every linked pair.
+4. Row blocks. A cluster of more than a block's n-grams is dealt to row blocks by size bucket and hash; every pair
+   of row blocks whose sizes allow a link is one product. The product runs over column chunks, accumulates overlap
+   counts and stops when no pair can reach its size-derived bound any more. Links are exact.
+5. Links are contracted within a product to one edge a class. That settles a cluster of one block; components over
+   the edges of the others are the rest of the result.
+
+Only one text of a class of a cluster is read again (with few others that a bitmap of fixed size lets through).
 Hashes are 64 bits wide; at 10^9 distinct texts a collision of two sets has odds of about 3 in 100.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; a text with fewer
@@ -26,8 +31,10 @@ ignored by ``ngram_jaccard_join`` and kept by ``one_of_each_group``.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmur.llm.common import WordHashes, checkpoint, drop_finished_shuffles, mix64, ngram_hashes
+from murmur.llm.common import WordHashes, checkpoint, mix64, ngram_hashes, possible_members
 from murmur.llm.components import connected_components
 
-#: A digest of more classes than this is chained instead of paired.
+#: A digest of more classes than this ties all of them to one instead of pairing them.
 PAIRED = 8
 #: Digests on which a paired candidate agrees at least.
 AGREE = 2
+#: Odds that a pair at the threshold agrees on fewer than AGREE of the blocks drawn.
+MISSED = 1e-14
+#: Classes that a task remembers as sent.
+REMEMBERED = 300_000
 #: Classes and n-grams of a row block.
 BLOCK_ROWS, BLOCK_NGRAMS = 1024, 1 << 20
 #: Columns of the dense chunk that a product step fills.
@@ -57,6 +68,25 @@ def size_bounds(percent: int, most: int = 1 << 40) -> list[int]:
     return bounds
 
 
+@cache
+def drawn_blocks(percent: int) -> tuple[float, int]:
+    """(blocks for each of the D differences, blocks sent) with the fewest sent for odds of MISSED.
+
+    At the threshold a pair has t / (1 - t) common n-grams for each different one. With c * D blocks, a block has no
+    difference with probability exp(-u / c) and something in common with 1 - exp(-u t / (1 - t) / c), where u tells
+    how far the pair's sizes lie below the largest of their level (t * t at least).
+    """
+    t, best = percent / 100, (1.0, 1 << 62)
+    for tenth in range(2, 60):
+        c = tenth / 10
+        agrees = min(math.exp(-u / c) * -math.expm1(-u * t / (1 - t) / c) for u in (t * t, 0.5 + t * t / 2, 1.0)) if t < 1 else 1.0
+        sent = AGREE
+        while sent < 100_000 and (1 - agrees) ** sent + sent * agrees * (1 - agrees) ** (sent - 1) > MISSED:
+            sent += 1
+        best = min(best, (c, sent), key=lambda x: x[1])
+    return best
+
+
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of a text's n-grams, in ASCII lower case."""
     words = (text or "").encode().lower().split()
@@ -74,23 +104,30 @@ def _block_keys(grams: np.ndarray, percent: int, bounds: list[int]) -> np.ndarra
     Level l holds sizes of buckets l - 1 and l, so below bounds[l + 1]; D is the largest difference of a linked
     pair there. With slack more blocks than D, a linked pair agrees on slack blocks or more. One of the two has
     fewer than slack - AGREE + 1 empty blocks: then AGREE of those agreed on are not empty. Else both send their
-    empty blocks too, and agree on slack digests.
+    empty blocks too, and agree on slack digests. Where fewer blocks drawn from more are enough, these are sent.
     """
     out, bucket, scrambled = [], bisect_right(bounds, len(grams)) - 1, mix64(grams)
+    spread, drawn = drawn_blocks(percent)
     for level in (bucket, bucket + 1):
         most = 2 * (bounds[level + 1] - 1) * (100 - percent) // (100 + percent)
         if not most:
             continue  # two different sets of such sizes can't link
         slack = max(AGREE + 1, most // 16)
         blocks = most + slack
+        all_sent = blocks <= drawn
+        if not all_sent:
+            blocks = math.ceil(most * spread)
         at = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        names = mix64((np.uint64(level) << np.uint64(40)) + at[first] + np.uint64(1))
-        out.append(mix64(np.add.reduceat(scrambled, first) ^ names))
-        empty = blocks - len(first)
-        if empty > slack - AGREE:
-            none = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[first])
-            out.append(mix64(mix64((np.uint64(level) << np.uint64(40)) + none + np.uint64(1)) + np.uint64(0x5BD1E995)))
+        used = len(at) if all_sent else int(np.searchsorted(at, drawn))
+        if used:
+            at = at[:used]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            names = mix64((np.uint64(level) << np.uint64(40)) + at[first] + np.uint64(1))
+            out.append(mix64(np.add.reduceat(scrambled[:used], first) ^ names))
+            empty = blocks - len(first)
+            if all_sent and empty > slack - AGREE:
+                none = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[first])
+                out.append(mix64(mix64((np.uint64(level) << np.uint64(40)) + none + np.uint64(1)) + np.uint64(0x5BD1E995)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -99,18 +136,26 @@ def _incidence(n: int, percent: int):
     names = ["key", "class", "doc_id", "size"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, done, nothing = WordHashes(), set(), np.empty(0, np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 ids, texts = batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000).to_pylist()
                 keys, classes, sizes = [], [], []
                 for text in texts:
                     grams = shingles(text, n, hashes)
+                    name = set_digest(grams) if len(grams) else None
                     sizes.append(len(grams))
-                    classes.append(set_digest(grams) if len(grams) else None)
-                    keys.append(_block_keys(grams, percent, bounds) if len(grams) else grams)
-                spread = mix64(np.arange(at + 1, at + 1 + len(texts), dtype=np.uint64) + np.uint64(abs(hash(tuple(sizes)))))
-                own = [pa.array(spread.view(np.int64)), pa.array(classes, pa.int64()), ids, pa.array(sizes, pa.int32())]
+                    classes.append(name)
+                    if name is None or name in done:
+                        keys.append(nothing)
+                        continue
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    done.add(name)
+                    keys.append(_block_keys(grams, percent, bounds))
+                # a document's own row meets nobody: its key only spreads the rows
+                alone = mix64(np.arange(at + 1, at + 1 + len(texts), dtype=np.uint64) + np.uint64(abs(hash(tuple(sizes)))))
+                own = [pa.array(alone.view(np.int64)), pa.array(classes, pa.int64()), ids, pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays(own, names=names)
                 sent = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
                 owner = np.repeat(np.array([c or 0 for c in classes], np.int64), [len(k) for k in keys])
@@ -119,16 +164,25 @@ def _incidence(n: int, percent: int):
     return rows
 
 
-def _candidates(shared: DataFrame) -> DataFrame:
-    """(key, class) of digests of two classes or more -> candidate links (a, b)."""
+def _meetings(sent: DataFrame) -> DataFrame:
+    """Own rows as they are, and of each digest of two classes or more a row a class: to (the classes to link it with) and many."""
     by_key = Window.partitionBy("key")
     in_order = by_key.orderBy("class")
-    ranked = shared.distinct().withColumn("classes", F.count(F.lit(1)).over(by_key)).filter("classes > 1")
-    before = F.array(*[F.lag("class", i).over(in_order) for i in range(1, PAIRED)])
-    linked = ranked.select("class", "classes", before.alias("before"))
-    chained = linked.filter(F.col("classes") > PAIRED).select(F.col("before")[0].alias("a"), F.col("class").alias("b")).filter("a IS NOT NULL")
-    paired = linked.filter(F.col("classes") <= PAIRED).select(F.explode("before").alias("a"), F.col("class").alias("b")).filter("a IS NOT NULL")
-    return chained.distinct().unionByName(paired.groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree")).filter(F.col("agree") >= AGREE).drop("agree"))
+    fresh = F.when(F.lag("class").over(in_order) == F.col("class"), 0).otherwise(1)
+    ranked = sent.withColumn("fresh", fresh).withColumn("met", F.sum("fresh").over(by_key))
+    ranked = ranked.filter(F.col("size").isNotNull() | ((F.col("fresh") == 1) & (F.col("met") > 1)))
+    before = F.array_compact(F.array(*[F.lag("class", i).over(in_order) for i in range(1, PAIRED)]))
+    many = F.col("met") > PAIRED
+    linked = ranked.withColumn("before", before).withColumn("least", F.first("class").over(in_order))
+    to = F.when(F.col("size").isNull(), F.when(many, F.array("least")).otherwise(F.col("before")))
+    return linked.select("doc_id", "class", "size", to.alias("to"), many.alias("many")).filter(F.col("size").isNotNull() | (F.size("to") > 0))
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """Rows of _meetings -> candidate links (a, b)."""
+    links = met.filter("to IS NOT NULL").select("many", F.explode("to").alias("a"), F.col("class").alias("b")).filter("a != b")
+    agreed = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("agree"), F.max("many").alias("many"))
+    return agreed.filter(F.col("many") | (F.col("agree") >= AGREE)).select("a", "b")
 
 
 def product(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -168,13 +222,13 @@ def product(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np
 
 def _linked(percent: int):
     def group(table: pa.Table) -> pa.Table:
-        """The products of one task -> (class, root, links): an edge to the smallest class it is connected with here."""
+        """The products of one task -> (cluster, class, root, links): an edge to the smallest class it is connected with here."""
         parts: dict[tuple, dict[int, tuple[int, np.ndarray]]] = {}
         columns = [table.column(c).to_pylist() for c in ("cluster", "low", "high", "class", "block", "grams")]
         for cluster, low, high, name, block, grams in zip(*columns):
             parts.setdefault((cluster, low, high), {})[name] = (block, np.frombuffer(grams, np.uint64))
         out: list[tuple] = []
-        for (_, low, high), rows in parts.items():
+        for (cluster, low, high), rows in parts.items():
             names = sorted(rows, key=lambda c: (rows[c][0], c))
             n_a = sum(rows[c][0] == low for c in names)
             sets = [rows[c][1] for c in names]
@@ -195,12 +249,36 @@ def _linked(percent: int):
                 if (least == root).all():
                     break
                 root = least
-            out += [(names[i], names[root[i]], int(degree[i])) for i in np.flatnonzero(degree)]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("class", "root", "links"), zip(*out) if out else ((), (), ()))})
+            out += [(cluster, names[i], names[root[i]], int(degree[i])) for i in np.flatnonzero(degree)]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("cluster", "class", "root", "links"), zip(*out) if out else ((), (), (), ()))})
 
     return group
 
 
+def _products(members: DataFrame, percent: int) -> DataFrame:
+    """(class, cluster, size) -> (class, cluster, block, low, high, task): a row for each product that a class takes part in.
+
+    A cluster within the bounds of a row block is one block, and several of them are a task. Others are dealt to
+    blocks by size bucket and hash; low, high, parts and sizes are of blocks, so few rows. low is null for one block.
+    """
+    weight = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_NGRAMS)
+    members = checkpoint(members.withColumn("bucket", F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("long") if percent < 100 else F.lit(0).cast("long")))
+    buckets = checkpoint(members.groupBy("cluster", "bucket").agg(F.sum(weight).alias("weight"), F.min("size").alias("least"), F.max("size").alias("most")))
+    sums = buckets.groupBy("cluster").agg(F.sum("weight").alias("total"))
+    bins = max(1, math.ceil(sums.filter("total <= 1").agg(F.sum("total")).first()[0] or 0))
+    large = buckets.join(sums.filter("total > 1").select("cluster"), "cluster").withColumn("parts", F.ceil("weight"))
+    dealt = members.join(large.select("cluster", "bucket", "parts"), ["cluster", "bucket"], "left")
+    dealt = dealt.withColumn("block", F.col("bucket") * (1 << 32) + F.pmod(F.xxhash64("class"), "parts"))
+    blocks = large.select("cluster", "least", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bucket").withColumn("block", F.col("bucket") * (1 << 32) + F.col("part"))
+    low, high = (blocks.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most")]) for x in ("low", "high"))
+    may = (F.col("block_low") <= F.col("block_high")) & (F.col("least_high") * percent <= F.col("most_low") * 100) & (F.col("least_low") * percent <= F.col("most_high") * 100)
+    pairs = low.join(high, "cluster").filter(may).select("cluster", F.col("block_low").alias("low"), F.col("block_high").alias("high"))
+    tasks = pairs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    small = dealt.filter("parts IS NULL").select("class", "cluster", F.lit(0).cast("long").alias("block"), *[F.lit(None).cast("long").alias(c) for c in ("low", "high")], F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("task"))
+    spread = dealt.filter("parts IS NOT NULL").select("class", "cluster", "block").join(tasks, ["cluster", "block"]).select("class", "cluster", "block", "low", "high", F.xxhash64("cluster", "low", "high").alias("task"))
+    return checkpoint(small.unionByName(spread))
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id, component_id, n_links.
 
@@ -208,67 +286,65 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     links, n_links the number of other sets linked with this one.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sent = plain.mapInArrow(_incidence(n, percent), "key long, class long, doc_id long, size int")
-    sent = sent.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    sent = checkpoint(sent.filter("size IS NOT NULL OR met > 1").drop("met"))
-    drop_finished_shuffles(docs.sparkSession)
-    rows = sent.filter("size IS NOT NULL").select("doc_id", "class", "size")
-    clusters = connected_components(_candidates(sent.filter("size IS NULL").select("key", "class")))
-    drop_finished_shuffles(docs.sparkSession)
+    met = checkpoint(_meetings(plain.mapInArrow(_incidence(n, percent), "key long, class long, doc_id long, size int")))
+    rows = met.filter("size IS NOT NULL").select("doc_id", "class", "size")
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.max("size").alias("size"))
-
-    weight = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_NGRAMS)
-    in_order = Window.partitionBy("cluster").orderBy("size", "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = clusters.select(F.col("vertex").alias("class"), F.col("label").alias("cluster")).join(classes, "class")
-    members = checkpoint(members.withColumn("block", F.floor(F.sum(weight).over(in_order)).cast("int")))
-    blocks = members.groupBy("cluster", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("grams"))
-    low, high = (blocks.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "least", "most")]) for x in ("low", "high"))
-    may = (F.col("block_low") <= F.col("block_high")) & (F.col("least_high") * percent <= F.col("most_low") * 100)
-    pairs = low.join(high, "cluster").filter(may).select("cluster", F.col("block_low").alias("low"), F.col("block_high").alias("high"))
-    whole = F.count(F.lit(1)).over(Window.partitionBy("cluster")) == 1
-    bins = max(1, (blocks.agg(F.sum("grams")).first()[0] or 0) // BLOCK_NGRAMS)
-    task = F.when(F.col("whole"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "low", "high"))
-    tasks = pairs.withColumn("whole", whole).select("cluster", "low", "high", task.alias("task"), F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-
-    hashed = _sets(n, plain.join(members.withColumnRenamed("class_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "cluster", "block", "text"))
-    found = checkpoint(hashed.join(tasks, ["cluster", "block"]).select("task", "cluster", "low", "high", "class", "block", "grams").groupBy("task").applyInArrow(_linked(percent), "class long, root long, links long"))
-    drop_finished_shuffles(docs.sparkSession)
-    parts = connected_components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
+    clusters = connected_components(_candidates(met))
+    chosen = _products(clusters.select(F.col("vertex").alias("class"), F.col("label").alias("cluster")).join(classes.select("class", "size"), "class"), percent)
+
+    first = classes.join(chosen.select("class").distinct(), "class", "left_semi").filter("class_id IS NOT NULL")
+    read = possible_members(plain, F.col("doc_id"), F.col("class_id"), first).filter(F.col("__possible") | F.col("doc_id").isNull())
+    hashed = _sets(n, read.select("text"))
+    found = hashed.join(chosen, "class").select("task", "cluster", "low", "high", "class", "block", "grams").groupBy("task").applyInArrow(_linked(percent), "cluster long, class long, root long, links long")
+    found = checkpoint(found)
+    # low is null in a cluster of one block, whose roots are final
+    several = chosen.filter("low IS NOT NULL").select("cluster").distinct()
+    edges = found.join(several, "cluster", "left_semi").select(F.col("class").alias("a"), F.col("root").alias("b"))
+    parts = connected_components(edges)
+    settled = found.join(several, "cluster", "left_anti").select(F.col("class").alias("vertex"), F.col("root").alias("label"))
     degrees = found.groupBy("class").agg(F.sum("links").alias("n_links"))
-    named = classes.join(parts.select(F.col("vertex").alias("class"), "label"), "class", "left").join(degrees, "class", "left").select("class", "class_id", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.join(parts.unionByName(settled).select(F.col("vertex").alias("class"), "label"), "class", "left").join(degrees, "class", "left").select("class", "class_id", F.coalesce("label", "class").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = checkpoint(named.join(smallest, "label").drop("label"))
     return rows.join(named, "class", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _sets(n: int, texts: DataFrame) -> DataFrame:
-    """(class, cluster, block, text) -> (class, cluster, block, grams); a text of another class with the same id is left out."""
+    """(text) -> (class, grams); a task sends a class once, unless it has seen very many others since."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, done = WordHashes(), set()
         for batch in batches:
-            grams = [shingles(t, n, hashes) for t in batch.column(3).to_pylist()]
-            same = pa.array([set_digest(g) == c for g, c in zip(grams, batch.column(0).to_pylist())], pa.bool_())
-            arrays = [*batch.columns[:3], pa.array([g.tobytes() for g in grams], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["class", "cluster", "block", "grams"]).filter(same)
+            classes, found = [], []
+            for text in batch.column(0).to_pylist():
+                grams = shingles(text, n, hashes)
+                name = set_digest(grams)
+                if not len(grams) or name in done:
+                    continue
+                if len(done) >= REMEMBERED:
+                    done.clear()
+                done.add(name)
+                classes.append(name)
+                found.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(found, pa.binary())], names=["class", "grams"])
 
-    return texts.mapInArrow(sets, "class long, cluster long, block int, grams binary")
+    return texts.mapInArrow(sets, "class long, grams binary")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those linked, directly or through others, with one of a smaller id; all columns kept.
 
-    Repeated rows of an id are one document; rows with a null id stay.
+    Repeated rows of an id are one document; rows with a null id stay. Only rows whose id may be among those that
+    go or repeat are shuffled.
     """
     joined = ngram_jaccard_join(docs, n, percent, id_col, text_col).filter("doc_id IS NOT NULL")
-    ids = checkpoint(joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
-    gone = ids.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = ids.filter("rows > 1").select(F.col("doc_id").alias("__repeated"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, F.col(id_col) == F.col("__repeated"), "left_anti").unionByName(once)
+    ids = joined.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    touched = checkpoint(ids.filter("doc_id != component_id OR rows > 1").select(F.col("doc_id").alias("__gone"), (F.col("doc_id") != F.col("component_id")).alias("__linked")))
+    marked = possible_members(docs, F.col(id_col).cast("long"), F.col("__gone"), touched)
+    stay = marked.filter(~F.col("__possible")).drop("__possible")
+    others = marked.filter("__possible").drop("__possible")
+    kept = others.join(touched.filter("__linked").select("__gone"), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return stay.unionByName(kept.dropDuplicates([id_col]))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
