@@ -7,9 +7,9 @@
    of its n-grams in a block, and a linked pair agrees on at least two blocks. Small sets have D and a few blocks
    more, and send them all, so that two must agree (blocks empty on both sides agree as well; a bound on a class's
    empty blocks says when they could be all that agrees, and only then they are sent). For larger sets the first
-   ``drawn_blocks`` of about 2 D blocks are enough: hashes scatter the D differences, and that all but one of those
-   blocks hold one, or nothing, has odds of less than 10^-14 for a pair at the threshold and less above it, which is
-   of the order of two sets sharing a 64-bit digest. A block holds several n-grams, so an n-gram or a passage that
+   ``drawn_blocks`` of these are enough: hashes scatter the D differences, and that all but one of those blocks hold
+   one, or nothing, has odds of less than 10^-12 for a pair at the threshold and less above it, beside the odds of
+   two sets sharing a 64-bit digest. A block holds about five n-grams, so an n-gram or a passage that
    very many texts share is no hot key: the others in its block tell the texts apart.
 3. Candidates. Pairs within a digest of few classes need two agreeing digests; within a digest of many, all are
    tied to the smallest class, so that nothing grows with the square of a group. A task sends the digests of a
@@ -51,13 +51,13 @@ PAIRED = 8
 #: Digests on which a paired candidate agrees at least.
 AGREE = 2
 #: Odds that a pair at the threshold agrees on fewer than AGREE of the blocks drawn.
-MISSED = 1e-14
+MISSED = 1e-12
 #: Classes that a task remembers as sent.
 REMEMBERED = 300_000
 #: Classes and n-grams of a row block.
-BLOCK_ROWS, BLOCK_NGRAMS = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_NGRAMS = 2048, 1 << 20
 #: Columns of the dense chunk that a product step fills.
-CHUNK = 4096
+CHUNK = 2048
 
 
 def size_bounds(percent: int, most: int = 1 << 40) -> list[int]:
@@ -69,22 +69,21 @@ def size_bounds(percent: int, most: int = 1 << 40) -> list[int]:
 
 
 @cache
-def drawn_blocks(percent: int) -> tuple[float, int]:
-    """(blocks for each of the D differences, blocks sent) with the fewest sent for odds of MISSED.
+def drawn_blocks(percent: int) -> int:
+    """Blocks sent of about D, for odds of MISSED.
 
-    At the threshold a pair has t / (1 - t) common n-grams for each different one. With c * D blocks, a block has no
-    difference with probability exp(-u / c) and something in common with 1 - exp(-u t / (1 - t) / c), where u tells
-    how far the pair's sizes lie below the largest of their level (t * t at least).
+    At the threshold a pair has t / (1 - t) common n-grams for each different one. With 17 / 16 D blocks, a block has
+    no difference with probability exp(-16 u / 17) and something in common with 1 - exp(-16 u / 17 * t / (1 - t)),
+    where u tells how far the pair's sizes lie below the largest of their level (t * t at least).
     """
-    t, best = percent / 100, (1.0, 1 << 62)
-    for tenth in range(2, 60):
-        c = tenth / 10
-        agrees = min(math.exp(-u / c) * -math.expm1(-u * t / (1 - t) / c) for u in (t * t, 0.5 + t * t / 2, 1.0)) if t < 1 else 1.0
-        sent = AGREE
-        while sent < 100_000 and (1 - agrees) ** sent + sent * agrees * (1 - agrees) ** (sent - 1) > MISSED:
-            sent += 1
-        best = min(best, (c, sent), key=lambda x: x[1])
-    return best
+    t = percent / 100
+    if t >= 1:
+        return AGREE
+    agrees = min(math.exp(-u) * -math.expm1(-u * t / (1 - t)) for u in (16 / 17 * t * t, 8 / 17 * (1 + t * t), 16 / 17))
+    sent = AGREE
+    while (1 - agrees) ** sent + sent * agrees * (1 - agrees) ** (sent - 1) > MISSED:
+        sent += 1
+    return sent
 
 
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
@@ -104,10 +103,10 @@ def _block_keys(grams: np.ndarray, percent: int, bounds: list[int]) -> np.ndarra
     Level l holds sizes of buckets l - 1 and l, so below bounds[l + 1]; D is the largest difference of a linked
     pair there. With slack more blocks than D, a linked pair agrees on slack blocks or more. One of the two has
     fewer than slack - AGREE + 1 empty blocks: then AGREE of those agreed on are not empty. Else both send their
-    empty blocks too, and agree on slack digests. Where fewer blocks drawn from more are enough, these are sent.
+    empty blocks too, and agree on slack digests. Where fewer blocks are enough, the first of them are sent.
     """
     out, bucket, scrambled = [], bisect_right(bounds, len(grams)) - 1, mix64(grams)
-    spread, drawn = drawn_blocks(percent)
+    drawn = drawn_blocks(percent)
     for level in (bucket, bucket + 1):
         most = 2 * (bounds[level + 1] - 1) * (100 - percent) // (100 + percent)
         if not most:
@@ -115,8 +114,6 @@ def _block_keys(grams: np.ndarray, percent: int, bounds: list[int]) -> np.ndarra
         slack = max(AGREE + 1, most // 16)
         blocks = most + slack
         all_sent = blocks <= drawn
-        if not all_sent:
-            blocks = math.ceil(most * spread)
         at = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         used = len(at) if all_sent else int(np.searchsorted(at, drawn))
         if used:
