@@ -39,6 +39,20 @@ def test_top_k_is_exact(spark):
         assert sorted(((r["score"], r["doc_id"]) for r in got), reverse=True) == everything[:k]
 
 
+def test_top_k_of_repeated_and_tied_rows(spark, monkeypatch):
+    """A third of all rows are one row; bins are divided again instead of being ranked whole."""
+    from murmur.llm import resampling
+
+    monkeypatch.setattr(resampling, "RANKED", 50)
+    rows = [(7, 3, 0.5)] * 400 + [(i, 3, float(i % 5)) for i in range(800)] + [(None, 0, 0.0)] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, n_features long, log_weight double").repartition(3)
+    whole = Counter((r["score"], r["doc_id"]) for r in gumbel_top_k(frame, len(rows), 1).collect())
+    ranked = sorted(whole.elements(), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
+    for k in (1, 100, 399, 700, 1219):
+        got = Counter((r["score"], r["doc_id"]) for r in gumbel_top_k(frame, k, 1, bins=16).collect())
+        assert got == Counter(ranked[:k])
+
+
 def test_sample_prefers_good_documents(spark, sf):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     drawn = {r["doc_id"] for r in op5_quality_resampling(spark, sf).collect()}
@@ -51,6 +65,8 @@ def test_resampling_edges(spark, edge, edge_rows, empty):
     assert 0 < resample_by_quality(edge, labels).count() <= len(edge_rows)
     assert resample_by_quality(edge, labels.limit(0)).count() == len(edge_rows)
     assert resample_by_quality(empty, labels).count() == 0
+    named = edge.withColumnsRenamed({"size": "good", "rank": "place", "key": "score", "base": "log_weight"})
+    assert resample_by_quality(named, labels).count() == resample_by_quality(edge, labels).count()
 
 
 PII = [
@@ -81,6 +97,48 @@ def test_surrogates(spark):
     assert got[1]["text"] != {r["doc_id"]: r["text"] for r in with_surrogates(frame, "other").collect()}[1]
 
 
+def test_surrogates_of_names(spark):
+    """Titles or common given names; scripts, capitals, hyphens and initials stay; one person stays one."""
+    texts = [
+        "Dr. Jane Roe met John Miller and Mr J. R. Miller. Call 415-555-2671 or 00442079460958 or +44 2079460958.",
+        "MR SMITH", "Mr SMITH and Mr Smith and John Smith.", "Κύριος Γιάννης Παπαδόπουλος ήρθε", "Frau Anna-Lena Meyer-Landrut", "Mr O'Brien", "Mr 王伟",
+        "The Grand Hotel and Apache License, Version 2.0", "+1 (415) 555-2671",
+    ]
+    got = [r["text"] for r in sorted(with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect(), key=lambda r: r["doc_id"])]
+    first = re.fullmatch(r"Dr\. (\w+) (\w+) met (\w+) (\w+) and Mr ([A-Z])\. ([A-Z])\. (\w+)\. Call (\d{3}-555-\d{4}) or (00442\d{9}) or (\+44 2\d{9})\.", got[0])
+    assert first and first[4] == first[7] and "Miller" not in got[0] and "Jane" not in got[0]
+    assert first[9].removeprefix("00") == re.sub(r"\D", "", first[10]) and first[9] != "00442079460958"
+    assert got[1] == texts[1]  # a title is written as a title
+    upper, lower, whole = re.fullmatch(r"Mr ([A-Z]+) and Mr ([A-Z][a-z]+) and \w+ ([A-Z][a-z]+)\.", got[2]).groups()
+    assert upper.lower() == lower.lower() == whole.lower() != "smith"
+    assert re.fullmatch(r"Κύριος [Α-Ωα-ωά-ώΆ-Ώ]+ [Α-Ωα-ωά-ώ]+ ήρθε", got[3]) and "Παπαδ" not in got[3]
+    assert re.fullmatch(r"Frau [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+", got[4]) and "Meyer" not in got[4]
+    assert re.fullmatch(r"Mr O'[A-Z][a-z]+", got[5]) and "Brien" not in got[5]
+    assert re.fullmatch(r"Mr [\u4e00-\u9fff]+", got[6]) and got[6] != texts[6]
+    assert got[7] == texts[7]
+    assert re.sub(r"\D", "", got[8])[1:] == first[8].replace("-", "")  # one number in two formats
+
+
+def test_keyed_hash_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    from murmur.llm.pii import keyed
+
+    for key in ("k", "long " * 30):
+        row = spark.createDataFrame([("héllo",)], "m string").select(keyed(key, __import__("pyspark").sql.functions.col("m")).alias("h")).first()
+        assert row["h"] == hmac.new(key.encode(), "héllo".encode(), hashlib.sha256).hexdigest()
+
+
+def test_surrogates_of_very_many_names(spark):
+    """10^5 surnames and 10^4 given names of a kind: all distinct, none a real one."""
+    names = spark.range(100_000).selectExpr("'surname latin' AS kind", "concat('n', translate(id, '0123456789', 'abcdefghij')) AS value")
+    given = spark.range(10_000).selectExpr("'given latin f' AS kind", "concat('g', translate(id, '0123456789', 'abcdefghij')) AS value")
+    got = distinct_surrogates(names.unionByName(given), "k").collect()
+    assert len({(r["kind"], r["new"]) for r in got}) == len(got) == 110_000
+    assert not {(r["kind"], r["new"]) for r in got} & {(r["kind"], r["value"]) for r in got}
+
+
 def test_surrogates_stay_distinct(spark):
     """More people than a few names hold: every collision is settled."""
     people = spark.range(3000).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS value")
@@ -110,6 +168,9 @@ def test_surrogates_edges(edge, edge_rows, empty):
     key = lambda r: (str(r["doc_id"]), str(r["text"]))
     assert Counter(key(r) for r in got.collect()) == Counter(key(r) for r in edge_rows)
     assert with_surrogates(empty, "k").count() == 0
+    named = edge.withColumnsRenamed({"size": "n_entities", "rank": "put", "key": "own", "base": "hash"})
+    counted = with_surrogates(named, "k", count_col="n_entities")
+    assert sorted(counted.columns) == sorted(named.columns) and counted.count() == len(edge_rows)
 
 
 def test_surrogates_leave_the_rest(spark, sf, rows):
