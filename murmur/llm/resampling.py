@@ -8,8 +8,8 @@ replacement by weight.
 Features are words and runs of signs, and pairs of neighbours, in ASCII lower case; a word next to itself is
 one feature of its own. Raw counts cover every document; the target may be a bounded sample of the labelled
 rows (``LABELLED``, drawn by hash), whose ids are small enough to broadcast. Both models have a fixed number of
-buckets, whatever the corpus. The k-th score is found from a histogram of bounded size, exactly: documents of the
-one bin that it falls in are ranked.
+buckets, whatever the corpus. The k-th score is found from a histogram of bounded size, exactly: the bin that it falls
+in is divided again until it holds few rows or one score, and rows that are equal in everything are counted, not ranked.
 
 Defined results: a null or empty text has no features and weight 0; repeated ids are rows of their own with the
 same Gumbel number; ties go to the smaller id; without usable labels every weight is 0 and all rows are drawn
@@ -35,6 +35,8 @@ LABELLED = 20_000
 #: Added to each bucket's count.
 SMOOTHING = 1.0
 BINS = 4096
+#: Rows of a bin that are ranked by one window.
+RANKED = 50_000
 _TOKEN = re.compile(rb"[0-9a-z_\x80-\xff]+|[^0-9a-z_\x80-\xff\s]+").findall
 
 
@@ -96,20 +98,39 @@ def gumbel_top_k(weights: DataFrame, k: int, seed: int = 0, bins: int = BINS) ->
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / float(1 << 53)
     scored = checkpoint(weights.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform))))
     # signed logarithms spread any range of scores over the bins
-    place = F.signum("score") * F.log1p(F.abs("score"))
-    ends = scored.agg(F.min(place), F.max(place)).first()
-    if ends[0] is None:
-        return scored
-    scale = bins / max(ends[1] - ends[0], 1e-12)
-    scored = scored.withColumn("bin", F.least(F.lit(bins - 1), F.floor((place - F.lit(ends[0])) * F.lit(scale))).cast("int"))
-    above, cut = 0, -1
-    for row in scored.groupBy("bin").count().orderBy(F.col("bin").desc()).collect():  # at most bins rows
-        if above + row["count"] > k:
-            cut = row["bin"]
+    scored = scored.withColumn("place", F.signum("score") * F.log1p(F.abs("score")))
+    inside, taken, missing = scored, [], k
+    while True:
+        found = inside.agg(F.min("place"), F.max("place"), F.count(F.lit(1))).first()
+        low, high, n = found[0], found[1], found[2]
+        if n <= missing:  # all of them, or an empty table
+            taken.append(inside)
             break
-        above += row["count"]
-    inside = scored.filter(F.col("bin") == cut).withColumn("turn", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id"))).filter(F.col("turn") <= k - above).drop("turn")
-    return scored.filter(F.col("bin") > cut).unionByName(inside).drop("bin")
+        if n <= RANKED or low == high:
+            taken.append(_ranked(inside, missing))
+            break
+        scale = bins / (high - low)
+        bin_of = F.least(F.lit(bins - 1), F.floor((F.col("place") - F.lit(low)) * F.lit(scale)).cast("int"))
+        above, cut = 0, 0
+        for row in inside.groupBy(bin_of.alias("bin")).count().orderBy(F.col("bin").desc()).collect():  # at most bins rows
+            if above + row["count"] > missing:
+                cut = row["bin"]
+                break
+            above += row["count"]
+        taken.append(inside.filter(bin_of > cut))
+        inside, missing = inside.filter(bin_of == cut), missing - above
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out.drop("place")
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """The first k rows by falling score, then id; equal rows are one row with a number of copies."""
+    order = [F.col("score").desc(), *[c for c in rows.columns if c != "score"]]
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("room", F.lit(k) - (F.sum("copies").over(upto) - F.col("copies")))
+    return counted.filter("room > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.least("copies", "room"))).alias("copy")).drop("copy")
 
 
 def resample_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, seed: int = 0) -> DataFrame:
@@ -120,9 +141,10 @@ def resample_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     share = usable.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     drawn = usable.withColumn("turn", F.xxhash64(F.lit(seed), F.col("doc_id"))).orderBy("turn", "doc_id").limit(labelled).filter("quality = 1").select(F.col("doc_id").alias("good")).distinct()
-    target = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("good")).select(F.col(text_col).alias(text_col))
-    weights = importance_weights(docs, target, id_col, text_col)
-    k = round((1.0 if share is None else share) * docs.count())
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    target = plain.join(F.broadcast(drawn), F.col("doc_id") == F.col("good")).select("text")
+    weights = importance_weights(plain, target)
+    k = round((1.0 if share is None else share) * plain.count())
     return gumbel_top_k(weights, k, seed)
 
 
