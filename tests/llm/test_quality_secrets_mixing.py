@@ -120,6 +120,62 @@ def test_random_runs_are_found_and_words_left(spark):
     assert sum(bool(got[5000 + i]) for i in range(200)) == 0
 
 
+def test_long_runs_and_runs_after_signs(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda k: "".join(rng.choices(letters, k=k))
+    keys = [draw(1600) for _ in range(300)] + [draw(48) for _ in range(300)] + [re.sub(r"\d", "x", draw(40)) for _ in range(20)]
+    data = [(i, f"export KEY={k}== done") for i, k in enumerate(keys)] + [(1000, "x" * 100_000), (1001, "12345678901234567890123456789")]
+    got = {r["doc_id"]: r["spans"] for r in secret_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(300)) >= 270 and sum(bool(got[i]) for i in range(300, 600)) >= 270
+    assert got[1000] == [] and got[1001] == []
+    assert all((s["start"], s["end"]) == (11, 13 + len(keys[i])) for i in range(600) for s in got[i])
+
+
+def test_battery_matches_plain_python(spark):
+    """The three statistics and their p-values, computed anew from their definitions."""
+    import math
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from murmur.llm.secrets import battery
+
+    runs = ["0123456789abcdef0123", "deadbeefdeadbeef0000ffff", "q7Zk2LmPx9Vb4TnWc8RdYs", "zzzzzzzzzzzzzzzzzzzz1", "ab-_cdEF01234567+/abQ=="]
+    alphabets = {"hex": "0123456789abcdef", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    which = ["hex", "hex", "base62", "base36", "base64"]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, run string")
+    tested = battery(F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("kind"), F.length("run").alias("end"), F.col("run").alias("run"))))
+    got = {r["i"]: r["t"][0] for r in frame.select("i", tested.alias("t")).collect()}
+    tail = lambda z: 1 - NormalDist().cdf(z)
+    for i, (run, name) in enumerate(zip(runs, which)):
+        alphabet = alphabets[name]
+        x = [alphabet.index(c) for c in run.rstrip("=").replace("-", "+").replace("_", "/")]
+        k, n = len(alphabet), len(x)
+        chi2 = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+        uniform = tail(((chi2 / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+        changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+        runs_p = 2 * tail(abs((changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)))
+        mean = (k - 1) / 2
+        serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / (math.sqrt(n - 1) * (k * k - 1) / 12)))
+        mine = got[i]
+        assert mine["encoding"] == name
+        assert [mine["p_uniform"], mine["p_runs"], mine["p_serial"]] == pytest.approx([uniform, runs_p, serial], abs=2e-6)
+        assert mine["p_random"] == pytest.approx(min(1, 3 * min(uniform, runs_p, serial)), abs=1e-5)
+
+
+def test_verdicts_of_base_spans(spark):
+    import random
+
+    rng = random.Random(6)
+    keys = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(400)]
+    data = [(i, f"token = {k}") for i, k in enumerate(keys)] + [(1000 + i, "password: aaaaaaaaaaaaaaaaaaaaaaaa") for i in range(50)]
+    got = {r["doc_id"]: r["n_base_random"] for r in secret_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(400)) >= 360 and sum(got[1000 + i] for i in range(50)) == 0
+
+
 def test_secrets_edges(edge, edge_rows, empty):
     got = redact_secrets(edge)
     assert got.columns == edge.columns and dict(got.dtypes) == dict(edge.dtypes)
@@ -152,6 +208,18 @@ def test_mix_comes_near_its_targets(spark, sf):
         assert abs(sum(t for _, t in docs) - target) <= max(s for s, _ in docs)
 
 
+def test_one_huge_document_does_not_end_the_mix(spark):
+    """Of a source with one document of half its words, the others fill what is needed."""
+    data = [(i, "w " * (200 + i % 200), "a") for i in range(1500)] + [(5000 + i, "w " * 450_000, "a") for i in range(1)] + [(9000 + i, "v " * 300, "b") for i in range(700)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4)
+    for seed in ("mix", "s", "t"):
+        by = defaultdict(list)
+        for r in curriculum_mix(frame, seed=seed).collect():
+            by[r["source_key"], r["target"]].append(r["taken"])
+        for (_, target), taken in by.items():
+            assert abs(sum(taken) - target) <= 0.002 * target
+
+
 def test_mix_edges(edge, edge_rows, empty):
     got = curriculum_mix(edge).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in edge_rows)
