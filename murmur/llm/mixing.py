@@ -8,6 +8,10 @@ A source's documents are put in a keyed random order (md5 of the id). Running su
 in two levels, (source, bucket) sums first and then inside each bucket, so a source that holds a third of all
 rows never meets in one task. Only the table of sources (one row a source) is ever in one task.
 
+Beyond whole epochs a source needs some documents once more. They are taken in the random order too, but those that
+are more than a hundredth of what is needed stand behind all others, those of more than a tenth behind these, and those
+that are larger than it never come (``tier``): one very long document can't end the taking far from the target.
+
 Defined results: a null text has size 0; null sources are one source, ordered last; documents with equal ids
 are ordered by their order of reading; documents of size 0 take part with 0 words; an empty table gives an
 empty result. Extra columns are kept by ``mixed_documents`` and ignored by ``curriculum_mix``.
@@ -75,16 +79,34 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     ).withColumn("bucket", F.substring("turn", 1, 3))
 
 
-def _placed(sized: DataFrame, buckets: DataFrame, most: float) -> DataFrame:
-    """Adds end (where the document ends in its source's random order), epochs (copies of every document) and extra."""
+def _tiered(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the source's columns, epochs (copies of every document), over (words needed beyond them) and tier."""
+    joined = sized.join(targets, "source_key")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    joined = joined.withColumn("epochs", epochs).withColumn("over", F.col("target") - F.col("epochs") * F.col("source_size"))
+    size = F.col("size").cast("double")
+    return joined.withColumn("tier", F.when(size * 100 <= F.col("over"), 0).when(size * 10 <= F.col("over"), 1).when(size <= F.col("over"), 2).otherwise(3))
+
+
+def _before(rows: DataFrame, *order: str) -> DataFrame:
+    """Sums of size by source and order, each with the sum of those before it in its source."""
+    upto = Window.partitionBy("source_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy("source_key", *order).agg(F.sum("size").alias("own"))
+    return sums.select("source_key", *order, (F.sum("own").over(upto) - F.col("own")).alias("before"))
+
+
+def _placed(tiered: DataFrame, buckets: DataFrame, tiers: DataFrame, most: float) -> DataFrame:
+    """Adds end (where the document ends in its source's random order), extra_end (in that of the tiers) and extra (taken once more)."""
     inside = Window.partitionBy("source_key", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_key", "tier", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        sized.join(buckets, ["source_key", "bucket"])
+        tiered.join(buckets, ["source_key", "bucket"])
         .withColumn("end", F.col("before") + F.sum("size").over(inside))
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-        .withColumn("over", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .withColumn("extra", (F.col("end") <= F.col("over")) & (F.col("epochs") < F.lit(most)))
-        .drop("bucket", "bucket_size", "before")
+        .drop("before")
+        .join(tiers, ["source_key", "tier", "bucket"])
+        .withColumn("extra_end", F.col("before") + F.sum("size").over(within))
+        .withColumn("extra", (F.col("extra_end") <= F.col("over")) & (F.col("epochs") < F.lit(most)))
+        .drop("bucket", "before")
     )
 
 
@@ -92,17 +114,16 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: doc_id, source_key, size, source_size, target, copies, taken, positions (one a copy).
 
     With payload, a column doc holds all columns of the input. The documents taken once more than the others are
-    a prefix of the source's random order that ends at or before the target, and then the one document whose size
-    fills the remaining gap best.
+    a prefix of the source's tiered random order that ends at or before the target, and then the one document whose
+    size fills the remaining gap best.
     """
     sized = checkpoint(_sized(docs, id_col, text_col, source_col, seed))
-    sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = checkpoint(sums.withColumn("before", F.sum("bucket_size").over(before) - F.col("bucket_size")).join(targets, "source_key"))
+    targets = checkpoint(source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most))
+    tiered = _tiered(sized, targets)
+    buckets, tiers = checkpoint(_before(tiered, "bucket")), checkpoint(_before(tiered, "tier", "bucket"))
 
-    placed = _placed(sized, buckets, most)
-    gaps = placed.groupBy("source_key").agg(F.min(F.col("over") - F.when(F.col("extra"), F.col("end")).otherwise(F.lit(0))).alias("gap"))
+    placed = _placed(tiered, buckets, tiers, most)
+    gaps = placed.groupBy("source_key").agg(F.min(F.col("over") - F.when(F.col("extra"), F.col("extra_end")).otherwise(F.lit(0))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
     fills = checkpoint(
         placed.join(gaps, "source_key")
@@ -112,13 +133,13 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("source_key", "gap", F.col("fill.end").alias("fill_end"))
     )
     if payload:
-        placed = _placed(_sized(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("doc")), buckets, most)
+        whole = _sized(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+        placed = _placed(_tiered(whole, targets), buckets, tiers, most)
 
     filled = F.coalesce((F.col("end") == F.col("fill_end")) & (F.col("size") > 0), F.lit(False))
-    begin = F.col("end") - F.col("size")
-    starts = F.transform(F.sequence(F.lit(0), F.col("epochs")), lambda c: (c * F.col("source_size") + begin).cast("double"))
-    gap_start = F.array(F.col("target") - F.col("gap"))
-    starts = F.when(filled, F.concat(F.slice(starts, F.lit(1), F.col("epochs")), gap_start)).otherwise(F.slice(starts, F.lit(1), F.col("copies")))
+    whole_epochs = F.transform(F.sequence(F.lit(0), F.col("epochs")), lambda c: (c * F.col("source_size") + F.col("end") - F.col("size")).cast("double"))
+    once_more = F.when(F.col("extra"), F.array((F.col("epochs") * F.col("source_size") + F.col("extra_end") - F.col("size")).cast("double"))).when(filled, F.array(F.col("target") - F.col("gap")))
+    starts = F.concat(F.slice(whole_epochs, F.lit(1), F.col("epochs")), F.coalesce(once_more, F.array().cast("array<double>")))
 
     def position(start: Column) -> Column:
         share_of = F.when(F.col("target") > 0, F.least(F.lit(1.0), (start + F.col("size") / 2) / F.col("target"))).otherwise(F.lit(0.0))
@@ -173,13 +194,16 @@ levels AS (
   FROM sources),
 targets AS (
   SELECT source_key, rank, least(cap, coalesce((SELECT arg_min(level, ratio) FROM levels WHERE level <= ratio), 1e300) * weight) AS target FROM levels),
-placed AS (
+needed AS (
   SELECT p.*, rank, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INTEGER AS epochs,
     target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS beyond
   FROM placed0 p JOIN targets USING (source_key)),
+placed AS (
+  SELECT *, (sum(size) OVER (PARTITION BY source_key ORDER BY CASE WHEN size * 100 <= beyond THEN 0 WHEN size * 10 <= beyond THEN 1 WHEN size <= beyond THEN 2 ELSE 3 END,
+    turn, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS extra_fin FROM needed),
 marked AS (
-  SELECT *, fin <= beyond AND epochs < 2 AS extra,
-    min(beyond - CASE WHEN fin <= beyond AND epochs < 2 THEN fin ELSE 0 END) OVER (PARTITION BY source_key) AS gap FROM placed),
+  SELECT *, extra_fin <= beyond AND epochs < 2 AS extra,
+    min(beyond - CASE WHEN extra_fin <= beyond AND epochs < 2 THEN extra_fin ELSE 0 END) OVER (PARTITION BY source_key) AS gap FROM placed),
 fills AS (
   SELECT source_key, arg_min(fin, (abs(size - gap), turn, fin)) AS fill_end FROM marked
   WHERE NOT extra AND epochs < 2 AND abs(size - gap) < gap GROUP BY source_key),
@@ -188,7 +212,7 @@ copied AS (
     epochs + CASE WHEN extra OR coalesce(fin = fill_end AND size > 0, false) THEN 1 ELSE 0 END AS copies
   FROM marked m LEFT JOIN fills USING (source_key)),
 shares AS (
-  SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, (CASE WHEN filled AND epochs = 0 THEN target - gap ELSE (fin - size)::DOUBLE END + size / 2) / target) ELSE 0.0 END AS y FROM copied)
+  SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, (CASE WHEN epochs > 0 THEN (fin - size)::DOUBLE WHEN filled THEN target - gap ELSE (extra_fin - size)::DOUBLE END + size / 2) / target) ELSE 0.0 END AS y FROM copied)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::INTEGER AS copies,
   CASE WHEN copies > 0 THEN round({_POSITION}, 6) END AS position
 FROM shares
