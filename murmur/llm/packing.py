@@ -2,8 +2,10 @@
 
 Texts are cut into pieces of at most a sequence's length; full pieces are sequences. The others are packed by
 best fit inside each partition, in chunks of a bounded number of items. Nearly full bins are done; the others
-are the items of the next round, over an eighth of the partitions, until one chunk holds them all. A round's
-items are ids and lengths; tokens never move. Rounds are checkpointed, so each item is packed once.
+are the items of the next round, over an eighth of the partitions, but no fewer than hold a chunk each. The rounds
+end with one partition, or when another round no longer makes fewer bins of them (pieces of more than half a sequence
+fit nowhere together), so what is left over never has to pass through one task. A round's items are ids and lengths;
+tokens never move. Rounds are checkpointed, so each item is packed once.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed as rows of their own; an
 empty table gives an empty result; extra columns are ignored.
@@ -26,6 +28,8 @@ CAPACITY = 1024
 SLACK = 2
 #: Items that one best-fit pass holds in memory.
 CHUNK = 250_000
+#: A round that leaves more than this share of the unfinished bins before it is the last one.
+STALLED = 0.97
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN = "fill int, items array<long>, lengths array<int>"
 
@@ -109,18 +113,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK,
     pieces = checkpoint(pieces.withColumn("item", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("length") == capacity).select("*", (F.col("item") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity).select(F.col("length").cast("int").alias("fill"), F.array("item").alias("items"), F.array(F.col("length").cast("int")).alias("lengths"))
-    parts = max(1, -(-rest.count() // chunk))
+    before = rest.count()
+    parts = max(1, -(-before // chunk))
     open_bins, done = rest.repartition(parts), None
     while True:
         packed = checkpoint(open_bins.mapInArrow(_packed(capacity, chunk), BIN))
-        last = parts == 1
+        left = packed.filter(F.col("fill") < capacity - slack)
+        n_left = left.count() if parts > 1 else 0
+        after = max(-(-parts // 8), -(-n_left // chunk))
+        last = parts == 1 or (after >= parts and n_left > STALLED * before)
         ready = packed if last else packed.filter(F.col("fill") >= capacity - slack)
         done = ready if done is None else done.unionByName(ready)
         if last:
             break
-        left = packed.filter(F.col("fill") < capacity - slack)
-        # an eighth of the partitions, or more if the bins left over need them; each round must at least halve them
-        parts = min(max(-(-parts // 8), -(-left.count() // chunk)), parts // 2)
+        before, parts = n_left, after
         open_bins = left.repartition(parts)
     offsets = F.transform(F.sequence(F.lit(0), F.size("lengths") - 1), lambda k: F.aggregate(F.slice("lengths", F.lit(1), k), F.lit(0), lambda s, x: s + x))
     # a bin's first item names it: items are in one bin each
