@@ -13,7 +13,9 @@ checksum of data which holds checksums is no weaker.
 
 Spark's text writer writes the records: it puts a string's bytes and one line end into the file as they are.
 So the files go through Spark's commit protocol to any store that Spark reaches, and lost executors or repeated
-tasks leave no half files. Documents are range-partitioned and sorted by id; file names follow the ranges.
+tasks leave no half files. Documents are range-partitioned and sorted by id; the numbers in file names follow the
+ranges. The number of files grows with the bytes of the texts; where one id (or null) has more rows than a file, its
+rows are spread over neighbouring files by a hash of the text.
 
 Defined results: a null text is an empty one (its record has the end id only); null ids come first; repeated
 ids are kept, each with a record; an empty table writes no records; extra columns are not written.
@@ -36,6 +38,8 @@ from murmur.llm.tokens import encoder
 
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qBB")
 END = b"\n"
+#: Bytes of text that a file is meant to hold; reading files back whole is limited to 2 GB.
+FILE_BYTES = 64 << 20
 #: One row a record, as read back; local_start counts the ids of the records before it in its file.
 RECORD = "file string, offset long, size long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -79,12 +83,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
             tokens.forget()
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # bounds from the ids alone: repartitionByRange would read all texts once more to draw its sample
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = plain.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], F.lit(20 * parts)).alias("b")).first()["b"] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<long>")
-    range_of = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda b: b < F.col("id"))))
-    in_order = plain.repartitionById(len(set(bounds)) + 1, range_of.cast("int")).sortWithinPartitions("id")
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    in_order = plain.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id")
     in_order.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
@@ -119,7 +120,8 @@ def write_index(spark, path: str) -> DataFrame:
     records = read_records(spark, path)
     records.write.parquet(f"{path}-offsets")
     offsets = spark.read.parquet(f"{path}-offsets")
-    by_file = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    by_file = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     files = offsets.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     before = files.select("file", (F.sum("in_file").over(by_file) - F.col("in_file")).alias("before"))
     return offsets.join(before, "file").withColumn("start", F.col("before") + F.col("local_start")).drop("before", "local_start")
