@@ -16,9 +16,9 @@ queries; each task sends its best candidates of each query only, and these are m
 salt) before (query). The codebooks (M * K words) are the only thing that is broadcast, and of fixed size.
 
 Defined results: vectors that are null or zero, or hold a null, NaN or infinite component, or differ in
-dimension from the trained codebooks, take no part; equal vectors are ordered by id; repeated ids are rows of
-their own; with fewer candidates than asked, all; an empty table gives an empty result; extra columns are
-ignored.
+dimension from the trained codebooks, take no part, and neither do rows with a null id; equal vectors are ordered by
+id; an id counts once, with the smallest of its vectors; with fewer candidates than asked, all; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmur.llm.common import checkpoint
+from murmur.llm.common import checkpoint, possible_members
 
 BOOKS, WORDS, BEAM = 16, 256, 8
 #: Rows on which codebooks are trained, at most.
@@ -41,7 +41,7 @@ RERANK = 640
 #: Standard deviations of a code's distance within which a row may still be nearer than the k-th found.
 MARGIN = 3.0
 #: Queries that a task scores together.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 
 
 def usable(vector: Column) -> Column:
@@ -112,7 +112,12 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int =
 
     norm is the squared length of the coded sum, error its squared distance to the vector.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & usable(F.col("vector")))
+    # ids alone are shuffled to find the repeated ones, and vectors of these only
+    repeated = checkpoint(rows.groupBy("id").count().filter("count > 1").select("id"))
+    if not repeated.isEmpty():
+        marked = possible_members(rows, F.col("id"), F.col("id"), repeated)
+        rows = marked.filter(~F.col("__possible")).select("id", "vector").unionByName(marked.filter("__possible").groupBy("id").agg(F.min("vector").alias("vector")))
     drawn = rows.select(F.xxhash64("id", "vector").alias("turn"), F.col("vector").cast("array<double>").alias("vector")).orderBy("turn").limit(sample).toPandas()["vector"]
     if not len(drawn):
         return rows.select("id", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("error"), "vector"), None
