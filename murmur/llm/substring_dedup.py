@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of every whole text; a chunk ends where its top bits are zero, at the
-start of a character and at least MIN bytes after the last end. Ends depend on the 32 bytes before them only, so
-chunks inside a repeated passage are the same however much was inserted before it. Chunks that two or more
+A gear hash of 16 bits rolls over the UTF-8 bytes of every whole text; a chunk ends, before the start of a character,
+where the hash is larger than at the REACH places on either side. So chunks have more than REACH bytes, 2 * REACH on
+average, and an end depends on the 16 + REACH bytes before it and the REACH after it only: chunks inside a repeated
+passage are the same however much was inserted before it. Chunks that two or more
 documents have (by digest) are repeats; runs of neighbouring repeats of enough words are the repeated passages.
 Of a document's runs, those stretches are cut whose chunks all have a smaller id's document as their first; a chunk
 is never cut in its first document, so nothing is lost from all of them.
@@ -26,16 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN, BITS, MAX = 16, 5, 512
-#: Fewest words of a run that is reported: passages of over 50 words less a chunk on either side.
-MIN_WORDS = 25
+REACH, MAX = 14, 512
+#: Fewest words of a run that is reported: passages of over 50 words less what is lost on either side.
+MIN_WORDS = 30
 SPANS = "array<struct<start:int,end:int,words:int,first_doc:bigint>>"
 CUTS = "array<struct<start:int,end:int>>"
 
 
 def gear_table(seed: int = 11) -> np.ndarray:
-    """A random 32-bit number for each byte but 0."""
-    table = np.random.default_rng(seed).integers(0, 1 << 32, 256, np.uint32)
+    """A random 16-bit number for each byte but 0."""
+    table = np.random.default_rng(seed).integers(0, 1 << 16, 256, np.uint16)
     table[0] = 0
     return table
 
@@ -44,23 +45,35 @@ GEAR = gear_table()
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[data[i - j]] << j over the last 32 bytes, by doubling the window."""
+    """h[i] = sum of GEAR[data[i - j]] << j over the last 16 bytes, by doubling the window."""
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] += h[:-k] << np.uint32(k)
+    for k in (1, 2, 4, 8):
+        h[k:] += h[:-k] << np.uint16(k)
     return h
 
 
-def chunk_ends(raw: bytes, ends: list[int], most: int = MAX, least: int = MIN) -> list[int]:
-    """The chunks' ends of one text, given where the hash allows one (ascending)."""
+def peaks(h: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Places where h is not 0, larger than at the ``reach`` places before and no smaller than at those after."""
+    most, width = h, 1
+    while 2 * width <= reach:  # most[i] = max of h[i : i + width]
+        most, width = np.maximum(most[:-width], most[width:]), 2 * width
+    most = np.maximum(most[: len(most) - (reach - width)], most[reach - width :])
+    before, after = np.zeros_like(h), np.zeros_like(h)
+    before[reach:] = most[: len(h) - reach]
+    after[: len(most) - 1] = most[1:]
+    return np.flatnonzero((h > before) & (h >= after))
+
+
+def chunk_ends(raw: bytes, ends: list[int], most: int = MAX) -> list[int]:
+    """The chunks' ends of one text, given where the hash has them (ascending); longer stretches are cut by length."""
     out, last, n = [], 0, len(raw)
     for end in [*ends, n]:
-        while end - last > most:  # no allowed end for long: cut by length, at a character
+        while end - last > most:  # at a character
             last += most
             while raw[last] & 0xC0 == 0x80:
                 last -= 1
             out.append(last)
-        if end - last >= least or end == n > last:
+        if end > last:
             out.append(end)
             last = end
     return out
@@ -68,24 +81,23 @@ def chunk_ends(raw: bytes, ends: list[int], most: int = MAX, least: int = MIN) -
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[int], np.ndarray]]:
     """(index of the text, ends of its chunks, words that begin before each end)."""
-    gap = b"\0" * 32
-    data = np.frombuffer(gap.join(texts) + gap, np.uint8)
+    gap = b"\0" * 64
+    data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     h = gear_hashes(data)
-    allowed = (h >> np.uint32(32 - BITS)) == 0
-    allowed[:-1] &= data[1:] & 0xC0 != 0x80
-    at = np.flatnonzero(allowed) + 1
+    h[data == 0] = 0
+    h[:-1][data[1:] & 0xC0 == 0x80] = 0
+    at = peaks(h) + 1
     space = (data == 32) | ((data >= 9) & (data <= 13)) | (data == 0)
     begins = np.zeros(len(data) + 1, np.int32)
     np.cumsum(~space[1:] & space[:-1], out=begins[2:])
-    start = 0
+    start = 64
     for i, raw in enumerate(texts):
         n = len(raw)
         if n:
             lo, hi = np.searchsorted(at, (start + 1, start + n))
             ends = chunk_ends(raw, (at[lo:hi] - start).tolist())
-            words = begins[np.array(ends) + start] - begins[start] + (not space[start] and start == 0)
-            yield i, ends, words
-        start += n + 32
+            yield i, ends, begins[np.array(ends) + start] - begins[start]
+        start += n + 64
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,34 @@ def test_join_edges(edge, edge_rows, empty):
     assert ngram_jaccard_join(empty).count() == 0 and one_of_each_group(empty).count() == 0
 
 
+def test_join_of_rows_without_ids(spark):
+    """Many rows with a null id and different texts: they take part without meeting each other by that id."""
+    rng = np.random.default_rng(9)
+    data = [(None, " ".join(f"w{x}" for x in rng.integers(0, 9000, 60))) for _ in range(2000)]
+    data += [(i, data[i][1]) for i in range(50)] + [(None, data[0][1] + " more")]
+    got = ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(5), 4, 85).collect()
+    assert len(got) == len(data)
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got if r["doc_id"] is not None} == {(i, i, int(i == 0)) for i in range(50)}
+
+
+def test_join_of_a_large_cluster(spark):
+    """A cluster of several row blocks: links between blocks count, and exact copies take part once."""
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 80)]
+    data = []
+    for i in range(2300):
+        text = base.copy()
+        text[i % 80] = f"new{i // 80}"
+        data.append((i, " ".join(text)))
+    data += [(5000 + i, data[i % 7][1]) for i in range(700)] + [(9000, " ".join(base[:40]))]
+    got = {r["doc_id"]: r for r in ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(6), 4, 85).collect()}
+    sets = {i: shingle_set(data[i][1], 4) for i in (0, 1, 81, 2299)}
+    for i, mine in sets.items():
+        links = sum(100 * len(mine & o) >= 85 * len(mine | o) for j, o in ((j, shingle_set(data[j][1], 4)) for j in range(2300)) if j != i)
+        assert got[i]["n_links"] == links > 1000
+    assert {got[i]["component_id"] for i in (*range(2300), *range(5000, 5700))} == {0} and got[9000]["component_id"] == 9000
+
+
 def nearest(vectors, queries, k):
     out = {}
     for q in queries:
@@ -124,6 +152,43 @@ def test_search_recall_in_a_hot_group(spark):
     assert sum(hits[25:]) >= 0.9 * 10 * len(hits[25:])
 
 
+def test_search_recall_where_few_rows_are_reranked(spark):
+    """640 of 20,000 rows are ranked exactly; the others are left out by their codes."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index, books = ann.build_index(frame, "vec_id", "embedding", sample=4000)
+    index = ann.checkpoint(index)
+    got = {}
+    for r in ann.search(index, books, index.filter("id % 500 = 0").select("id", "vector")).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    exact, hits = x.astype(np.float64), 0
+    for q in range(0, 20_000, 500):
+        far = ((exact - exact[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & got[q])
+    assert len(got) == 40 and hits >= 0.9 * 400
+
+
+def test_search_of_repeated_ids(spark):
+    """An id counts once, with the smallest of its vectors; rows without an id take no part."""
+    data = [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (7, [1.0, 2.5]), (7, [9.0, 9.0]), (7, [1.0, 2.5]), (8, [1.0, 4.0]), (None, [1.0, 2.0])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    index, books = ann.build_index(frame, "vec_id", "embedding")
+    got = ann.search(index, books, index.filter("id = 100").select("id", "vector")).collect()
+    assert sorted((r["rank"], r["id"], r["score"]) for r in got) == [(1, 7, 0.5), (2, 8, 2.0)]
+
+
+def test_search_of_many_equal_vectors(spark):
+    """Ties go to the smaller ids, however the rows are dealt."""
+    for parts in (3, 7):
+        frame = spark.range(1, 5001).selectExpr("id AS vec_id", "array(1F, 2F, 3F) AS embedding").repartition(parts)
+        index, books = ann.build_index(frame, "vec_id", "embedding", sample=300, books=2)
+        index = ann.checkpoint(index)
+        got = sorted((r["rank"], r["id"]) for r in ann.search(index, books, index.filter("id = 100").select("id", "vector")).collect())
+        assert got == [(i, i) for i in range(1, 11)]
+
+
 def test_search_edges(spark):
     bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0])]
     good = [(100, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [3.0, 4.0])]
@@ -175,6 +240,19 @@ def test_passages_resist_insertions(spark):
     assert all(out[100 + i] == data[12 + i][1] for i in range(12))
 
 
+def test_short_passages_are_found_wherever_they_begin(spark):
+    """Passages of 51 words in two documents each, at many offsets."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(2, 10))))) for _ in range(n))
+    data = []
+    for i in range(400):
+        passage = words(51)
+        data += [(2 * i + k, f"{words(int(rng.integers(3, 60)))} {passage} {words(int(rng.integers(3, 60)))}") for k in (0, 1)]
+    data += [(5000 + i, words(100)) for i in range(100)]
+    got = {r["doc_id"] for r in repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert len(got) >= 796 and max(got) < 800
+
+
 def test_adjoining_passages_stay_somewhere(spark):
     """Q is first in document 5, P beside it in document 10: both stay in one document each."""
     rng = np.random.default_rng(6)
