@@ -91,15 +91,15 @@ def test_join_of_rows_without_ids(spark):
 def test_join_of_a_large_cluster(spark):
     """A cluster of several row blocks: links between blocks count, and exact copies take part once."""
     rng = np.random.default_rng(10)
-    base = [f"w{x}" for x in rng.integers(0, 5000, 80)]
+    base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
     data = []
     for i in range(2300):
         text = base.copy()
-        text[i % 80] = f"new{i // 80}"
+        text[i % 160] = f"new{i // 160}"
         data.append((i, " ".join(text)))
     data += [(5000 + i, data[i % 7][1]) for i in range(700)] + [(9000, " ".join(base[:40]))]
     got = {r["doc_id"]: r for r in ngram_jaccard_join(spark.createDataFrame(data, "doc_id long, text string").repartition(6), 4, 85).collect()}
-    sets = {i: shingle_set(data[i][1], 4) for i in (0, 1, 81, 2299)}
+    sets = {i: shingle_set(data[i][1], 4) for i in (0, 1, 161, 2299)}
     for i, mine in sets.items():
         links = sum(100 * len(mine & o) >= 85 * len(mine | o) for j, o in ((j, shingle_set(data[j][1], 4)) for j in range(2300)) if j != i)
         assert got[i]["n_links"] == links > 1000
