@@ -55,9 +55,11 @@ MISSED = 1e-12
 #: Classes that a task remembers as sent.
 REMEMBERED = 300_000
 #: Classes and n-grams of a row block.
-BLOCK_ROWS, BLOCK_NGRAMS = 2048, 1 << 20
+BLOCK_ROWS, BLOCK_NGRAMS = 6144, 3 << 20
+#: Rows of a block that one product takes at a time.
+TILE = 1024
 #: Columns of the dense chunk that a product step fills.
-CHUNK = 2048
+CHUNK = 4096
 
 
 def size_bounds(percent: int, most: int = 1 << 40) -> list[int]:
@@ -217,6 +219,36 @@ def product(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np
     return links
 
 
+def _settle(sets: list[np.ndarray], at: list[int], percent: int, degree: np.ndarray, tie) -> None:
+    """The products of row blocks at[0]:at[1] and at[1]:at[2] (or of the one with itself), in tiles of TILE rows.
+
+    Adds to degree, and ties each linked row to the smallest row that it is connected with inside its tile.
+    """
+    own = len(at) == 2
+    begins_a = range(at[0], at[1], TILE)
+    for a in begins_a:
+        rows_a = np.arange(a, min(a + TILE, at[1]))
+        for b in range(a if own else at[1], at[1] if own else at[2], TILE):
+            same = own and a == b
+            rows_b = rows_a if same else np.arange(b, min(b + TILE, at[1] if own else at[2]))
+            links = product([sets[i] for i in rows_a], None if same else [sets[i] for i in rows_b], percent)
+            if not links.any():
+                continue
+            degree[rows_a] += links.sum(axis=1)
+            if not same:
+                degree[rows_b] += links.sum(axis=0)
+            root_a, root_b, far = rows_a.copy(), rows_b.copy(), len(sets)
+            while True:
+                least_a = np.minimum(root_a, np.where(links, root_b[None, :], far).min(axis=1))
+                least_b = np.minimum(root_b, np.where(links, least_a[:, None], far).min(axis=0))
+                if (least_a == root_a).all() and (least_b == root_b).all():
+                    break
+                root_a, root_b = (least_b, least_b) if same else (least_a, least_b)
+            for rows, root in ((rows_a, root_a), (rows_b, root_b)):
+                for i in np.flatnonzero(root != rows):
+                    tie(int(rows[i]), int(root[i]))
+
+
 def _linked(percent: int):
     def group(table: pa.Table) -> pa.Table:
         """The products of one task -> (cluster, class, root, links): an edge to the smallest class it is connected with here."""
@@ -227,26 +259,23 @@ def _linked(percent: int):
         out: list[tuple] = []
         for (cluster, low, high), rows in parts.items():
             names = sorted(rows, key=lambda c: (rows[c][0], c))
-            n_a = sum(rows[c][0] == low for c in names)
-            sets = [rows[c][1] for c in names]
-            k = len(names)
-            if low == high:
-                links = product(sets, None, percent)
-            else:
-                if not 0 < n_a < k:
-                    continue
-                links = np.zeros((k, k), bool)
-                links[:n_a, n_a:] = product(sets[:n_a], sets[n_a:], percent)
-                links |= links.T
-            degree = links.sum(axis=1)
-            root = np.arange(k)
-            while True:
-                least = np.minimum(root, np.where(links, root[None, :], k).min(axis=1))
-                least = least[least]
-                if (least == root).all():
-                    break
-                root = least
-            out += [(cluster, names[i], names[root[i]], int(degree[i])) for i in np.flatnonzero(degree)]
+            k, n_a = len(names), sum(rows[c][0] == low for c in names)
+            if low != high and not 0 < n_a < k:
+                continue
+            degree, up = np.zeros(k, np.int64), list(range(k))
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            def tie(i: int, j: int) -> None:
+                i, j = top(i), top(j)
+                up[max(i, j)] = min(i, j)
+
+            _settle([rows[c][1] for c in names], [0, k] if low == high else [0, n_a, k], percent, degree, tie)
+            out += [(cluster, names[i], names[top(int(i))], int(degree[i])) for i in np.flatnonzero(degree)]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("cluster", "class", "root", "links"), zip(*out) if out else ((), (), (), ()))})
 
     return group
