@@ -52,11 +52,14 @@ def resolve(variables: dict[str, tuple[str, str]], fields: Column, contact: dict
 def payloads(contacts: DataFrame, values: DataFrame, variables: dict[str, tuple[str, str]], batch: int = 10) -> DataFrame:
     """Recipients with their values and the number of their batch of ``batch``.
 
-    Batches are filled inside ranges of ids: counts of the ranges before (one row a range) give where each begins.
+    Batches are filled inside ranges of ids, cut at quantiles so that scattered ids make even ranges: counts of the
+    ranges before (one row a range, as many as shuffle partitions) give where each begins.
     """
     rows = contacts.join(field_index(values), contacts["id"] == F.col("contact_id"), "left")
     rows = rows.select("id", digits(F.col("phone")).alias("phone"), resolve(variables, F.col("fields"), {"name": F.col("name"), "company": F.col("company"), "phone": F.col("phone")}).alias("params"))
-    rows = rows.withColumn("range", F.floor(F.col("id") / 10_000))
+    parts = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = contacts.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], F.lit(20 * parts))).first()[0] or []
+    rows = rows.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < F.col("id"))))
     counts = rows.groupBy("range").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from murmur.functions import dates, numbers, phone, security, text
-from murmur.operators import audience, contacts, deals, messaging, rules, status
+from murmur.operators import audience, contacts, deals, messaging, rules, runs, status
 from murmur.sources import views
 from murmur.sources.webhook import explode_webhook
 from murmur.sources.views import with_views
@@ -384,13 +385,13 @@ def phone_variants(spark, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT a.id AS inbound_id, min(c.id) AS contact_id, count(c.id) AS candidates FROM (SELECT id, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM contacts WHERE id % 3 = 0) a
+    """SELECT a.id AS inbound_id, min(c.id) AS contact_id, count(c.id) AS candidates FROM (SELECT id, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM contacts) a
     LEFT JOIN (SELECT id, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM contacts) c ON a.d = c.d OR (length(a.d) >= 8 AND length(c.d) >= 8 AND right(a.d, 8) = right(c.d, 8)) GROUP BY a.id""",
     "contacts",
 )
 def phone_match_join(spark, sf_dir: str) -> DataFrame:
     c = views.contacts(spark, sf_dir)
-    found = contacts.match_phones(c.filter("id % 3 = 0").select(F.col("id").alias("inbound_id"), "phone"), c)
+    found = contacts.match_phones(c.select(F.col("id").alias("inbound_id"), "phone"), c)
     return found.select("inbound_id", "contact_id", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
@@ -486,11 +487,23 @@ def webhook_explode(spark, sf_dir: str) -> DataFrame:
     return found.select("id", "sender", "kind", "content", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), "contact_name")
 
 
-@query()
+_PAD = lambda byte: "".join(f"{c ^ byte:02x}" for c in b"test-secret".ljust(64, b"\0"))
+
+
+_SIGNED = f"sha256(unhex('{_PAD(0x5C)}') || unhex(sha256(unhex('{_PAD(0x36)}') || encode(props))))"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN sha256(props) ELSE {_SIGNED} END = {_SIGNED} AS holds FROM events")
 def hmac_check(spark, sf_dir: str) -> DataFrame:
-    holds = security.signature_holds("test-secret")
-    e = views.table(spark, sf_dir, "events").select("event_id", "props", F.concat(F.lit("sha256="), F.sha2("props", 256)).alias("header"))
-    return e.select("event_id", holds("props", "header").alias("holds"))
+    """Two thirds of the bodies are signed rightly, the others with a plain digest."""
+    right = F.concat(F.lit("sha256="), security.hmac_sha256(F.col("props"), "test-secret"))
+    header = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("sha256="), F.sha2("props", 256))).otherwise(right)
+    return views.table(spark, sf_dir, "events").select("event_id", security.signature_holds(F.col("props"), header, "test-secret").alias("holds"))
+
+
+@query(f"SELECT event_id, {_SIGNED} AS signature FROM events")
+def hmac_signature(spark, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select("event_id", security.hmac_sha256(F.col("props"), "test-secret").alias("signature"))
 
 
 @query("SELECT event_id, props AS plain, true AS three_parts FROM events")
@@ -498,3 +511,92 @@ def aes_roundtrip(spark, sf_dir: str) -> DataFrame:
     key = "00" * 32
     e = views.table(spark, sf_dir, "events").withColumn("token", security.encrypt_token(F.col("props"), key))
     return e.select("event_id", security.decrypt_token(F.col("token"), key).alias("plain"), (F.size(F.split("token", ":")) == 3).alias("three_parts"))
+
+
+#: Rules and their step trees over the test tables: a rule a customer, whose orders are the steps; those of the first order's branches hang on it.
+KINDS = ("send_message", "add_tag", "remove_tag", "wait", "update_contact_field", "create_deal", "send_webhook", "close_conversation", "condition")
+
+
+def _automations(spark, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    trigger = F.when(key % 2 == 0, "new_message_received").otherwise("keyword_match")
+    return views.table(spark, sf_dir, "customer").select(key.alias("id"), key.alias("user_id"), trigger.alias("trigger"), F.lit('"K": 7').alias("keyword"), (key % 5 != 0).alias("is_active"))
+
+
+def _steps(spark, sf_dir: str) -> DataFrame:
+    key, first = F.col("o_orderkey"), F.col("first")
+    o = views.table(spark, sf_dir, "orders").withColumn("first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
+    below = (key % 3 == 0) & (first % 2 == 0) & (key != first)
+    root = (key == first) & (first % 2 == 0)
+    o = o.select(
+        key.alias("id"), F.col("o_custkey").alias("automation_id"), F.when(below, first).otherwise(-1).cast("long").alias("parent_id"), F.when(below, F.when(key % 2 == 0, "yes").otherwise("no")).otherwise("").alias("branch"),
+        F.when(root, "condition").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (key % 9 + 1).cast("int"))).alias("kind"),
+        F.when(root, F.concat(F.lit('"k": '), (key % 10).cast("string"))).when(key % 4 == 0, "  ").otherwise(F.concat(F.lit("Got {{ message.text }} #"), key.cast("string"))).alias("text_of_step"),
+        F.col("o_orderpriority").alias("tag"), (key % 5).alias("amount"), F.when(key % 2 == 0, "hours").otherwise("days").alias("unit"), F.element_at(F.array(F.lit("name"), F.lit("email"), F.lit("phone")), (key % 3 + 1).cast("int")).alias("field"), F.when(key % 7 != 0, F.col("o_orderpriority")).alias("stage"),
+    )
+    return o.withColumn("position", F.row_number().over(Window.partitionBy("automation_id", "parent_id", "branch").orderBy("id")) - 1)
+
+
+def _runs(spark, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("at"), F.col("props").alias("text"))
+    return runs.dispatch(e, _automations(spark, sf_dir))
+
+
+def _executed(spark, sf_dir: str) -> DataFrame:
+    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir), depth=2)
+
+
+def _level(name: str, source: str) -> str:
+    return f"""{name}_all AS (SELECT r.*, s.* EXCLUDE (automation_id, parent_id, branch),
+      CASE WHEN kind IN ('send_message', 'create_deal') THEN replace(text_of_step, '{{{{ message.text }}}}', text) WHEN kind = 'send_webhook' THEN '{{"event_id":' || event_id || ',"automation_id":' || s.automation_id || ',"message":' || to_json(text) || '}}' END AS body,
+      CASE WHEN kind = 'condition' THEN CASE WHEN contains(lower(text), lower(text_of_step)) THEN 'yes' ELSE 'no' END END AS chosen,
+      CASE WHEN kind = 'wait' THEN "at" + to_milliseconds(greatest(1000, amount * CASE unit WHEN 'hours' THEN 3600000 ELSE 86400000 END)) END AS run_at
+      FROM ({source}) r JOIN steps s ON r.automation_id = s.automation_id AND r.parent_id = s.parent_id AND r.branch = s.branch),
+    {name}_judged AS (SELECT *, CASE WHEN kind = 'send_message' AND trim(body) = '' OR kind = 'create_deal' AND stage IS NULL THEN 'failed' WHEN kind = 'wait' THEN 'partial' WHEN kind = 'update_contact_field' AND field NOT IN ('name', 'email', 'company') THEN 'skipped' ELSE 'success' END AS status FROM {name}_all),
+    {name} AS (SELECT * EXCLUDE (stop) FROM (SELECT *, min(CASE WHEN status IN ('failed', 'partial') THEN position END) OVER (PARTITION BY event_id, automation_id, parent_id, branch) AS stop FROM {name}_judged) WHERE stop IS NULL OR position <= stop)"""
+
+
+_KIND_LIST = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_RUNS_SQL = """runs AS (SELECT event_id, user_id AS automation_id, user_id, ts AS "at", props AS text, CASE WHEN user_id % 2 = 0 THEN 'new_message_received' ELSE 'keyword_match' END AS trigger
+  FROM events JOIN customer ON user_id = c_custkey WHERE user_id % 5 <> 0 AND (user_id % 2 = 0 OR contains(lower(props), '"k": 7')))"""
+_EXECUTED_SQL = f"""WITH {_RUNS_SQL},
+  placed AS (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders),
+  hung AS (SELECT *, o_orderkey % 3 = 0 AND first % 2 = 0 AND o_orderkey <> first AS below, o_orderkey = first AND first % 2 = 0 AS root FROM placed),
+  steps0 AS (SELECT o_orderkey AS id, o_custkey AS automation_id, CASE WHEN below THEN first ELSE -1 END AS parent_id, CASE WHEN below THEN CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END ELSE '' END AS branch,
+    CASE WHEN root THEN 'condition' ELSE {_KIND_LIST}[o_orderkey % 9 + 1] END AS kind, CASE WHEN root THEN '"k": ' || o_orderkey % 10 WHEN o_orderkey % 4 = 0 THEN '  ' ELSE 'Got {{{{ message.text }}}} #' || o_orderkey END AS text_of_step,
+    o_orderpriority AS tag, o_orderkey % 5 AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'hours' ELSE 'days' END AS unit, ['name', 'email', 'phone'][o_orderkey % 3 + 1] AS field, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS stage FROM hung),
+  steps AS (SELECT *, row_number() OVER (PARTITION BY automation_id, parent_id, branch ORDER BY id) - 1 AS position FROM steps0),
+  {_level("top", "SELECT *, -1 AS parent_id, '' AS branch FROM runs")},
+  {_level("under", "SELECT event_id, automation_id, user_id, \"at\", text, trigger, id AS parent_id, chosen AS branch FROM top WHERE kind = 'condition'")},
+  executed AS (SELECT * FROM top UNION ALL BY NAME SELECT * FROM under)"""
+
+
+@query(f'WITH {_RUNS_SQL} SELECT event_id, automation_id, trigger, "at" FROM runs')
+def rule_dispatch(spark, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select("event_id", "automation_id", "trigger", "at")
+
+
+@query(f"{_EXECUTED_SQL} SELECT event_id, id AS step_id, kind, position::INTEGER AS position, branch, status, chosen FROM executed")
+def step_log(spark, sf_dir: str) -> DataFrame:
+    return _executed(spark, sf_dir).select("event_id", F.col("id").alias("step_id"), "kind", "position", "branch", "status", "chosen")
+
+
+@query(f"{_EXECUTED_SQL} SELECT event_id, id AS step_id, kind, body FROM executed WHERE kind IN ('send_message', 'send_webhook') AND status = 'success'")
+def step_outbox(spark, sf_dir: str) -> DataFrame:
+    return runs.outbox(_executed(spark, sf_dir))
+
+
+@query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, parent_id, branch, (position + 1)::INTEGER AS next_position, run_at FROM executed WHERE status = 'partial'")
+def parked_steps(spark, sf_dir: str) -> DataFrame:
+    return runs.parked(_executed(spark, sf_dir))
+
+
+@query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'partial') THEN 'partial' ELSE 'success' END AS status, count(*) AS n_steps, string_agg(id || ':' || status, ',' ORDER BY parent_id, branch, position) AS steps FROM executed GROUP BY ALL")
+def run_log(spark, sf_dir: str) -> DataFrame:
+    return runs.run_log(_executed(spark, sf_dir))
+
+
+@query(f"{_EXECUTED_SQL} SELECT DISTINCT user_id AS contact_id, tag FROM executed WHERE kind = 'add_tag' AND status = 'success' AND (user_id, tag) NOT IN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)")
+def engine_added_tags(spark, sf_dir: str) -> DataFrame:
+    held = views.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("tag")).distinct()
+    return runs.added_tags(_executed(spark, sf_dir), held)
