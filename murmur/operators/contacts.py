@@ -69,3 +69,10 @@ def sync_actions(stored: DataFrame, fetched: DataFrame, keys: list[str], compare
     rows = fetched.withColumn("__new", F.struct(*compared)).join(s, keys, "left")
     action = F.when(F.col("__old").isNull(), "insert").when(F.col("__old") == F.col("__new"), "keep").otherwise("update")
     return rows.withColumn("action", action).drop("__old", "__new")
+
+
+def page_with_total(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
+    """One page (from 1) with the number of rows and of pages: a count and a top-k, two plans."""
+    total = rows.count()
+    page_rows = rows.orderBy(*order).offset((page - 1) * size).limit(size)
+    return page_rows.withColumns({"total": F.lit(total).cast("long"), "pages": F.lit(-(-total // size)).cast("long")})

@@ -34,8 +34,22 @@ def step_paths(steps: DataFrame) -> DataFrame:
     )
 
 
-def step_issues(steps: DataFrame) -> DataFrame:
-    """(path, kind, text, tag, amount, unit, url) -> one row for each problem that keeps a rule from being switched on."""
+def tree_paths(steps: DataFrame, depth: int) -> DataFrame:
+    """(id, automation_id, parent_id, branch, position, ...) -> the same with path and depth of every step that hangs on a root (parent_id -1).
+
+    One join a level; orphans are left out.
+    """
+    level = steps.filter("parent_id = -1").withColumns({"path": F.concat(F.lit("steps["), F.col("position").cast("string"), F.lit("]")), "depth": F.lit(0)})
+    out = level
+    for i in range(1, depth):
+        above = level.select("automation_id", F.col("id").alias("parent_id"), F.col("path").alias("above"))
+        level = steps.join(above, ["automation_id", "parent_id"]).withColumns({"path": F.concat("above", F.lit("."), "branch", F.lit(".steps["), F.col("position").cast("string"), F.lit("]")), "depth": F.lit(i)}).drop("above")
+        out = out.unionByName(level)
+    return out
+
+
+def step_issues(steps: DataFrame, *keep: str) -> DataFrame:
+    """(path, kind, text, tag, amount, unit, url) -> one row for each problem that keeps a rule from being switched on, with the columns to keep."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     protocol = F.try_parse_url(F.col("url"), F.lit("PROTOCOL"))
     issue = lambda bad, field, text: F.when(bad, F.struct(F.concat(F.col("path"), F.lit(field)).alias("path"), F.lit(text).alias("message")))
@@ -49,7 +63,7 @@ def step_issues(steps: DataFrame) -> DataFrame:
         issue((kind == "send_webhook") & ~blank(F.col("url")) & protocol.isNull(), ".url", "is no address"),
         issue((kind == "send_webhook") & protocol.isNotNull() & ~protocol.isin("http", "https"), ".url", "needs http or https"),
     )
-    return steps.select(F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("i")).select("i.path", "i.message")
+    return steps.select(*keep, F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("i")).select(*keep, "i.path", "i.message")
 
 
 def execution_counts(runs: DataFrame) -> DataFrame:

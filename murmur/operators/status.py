@@ -76,3 +76,17 @@ def reply_attribution(recipients: DataFrame) -> DataFrame:
     latest = Window.partitionBy("contact_id").orderBy(F.col("created_at").desc(), F.col("broadcast_id").desc(), F.col("order_id").desc(), F.col("part_id").desc())
     rows = recipients.filter(F.col("status").isin("sent", "delivered", "read")).withColumn("turn", F.row_number().over(latest))
     return rows.filter("turn = 1").select("contact_id", "broadcast_id", "status", "created_at")
+
+
+def merge_results(recipients: DataFrame, results: DataFrame) -> DataFrame:
+    """recipients with a phone and results (phone, seq, accepted): the last result of a phone decides; without one a recipient is pending."""
+    last = results.groupBy("phone").agg(F.max_by("accepted", "seq").alias("accepted"))
+    merged = recipients.join(last, "phone", "left")
+    return merged.withColumn("status", F.when(F.col("accepted"), "sent").when(F.col("accepted").isNull(), "pending").otherwise("failed"))
+
+
+def outcomes(merged: DataFrame) -> DataFrame:
+    """Totals of each broadcast; it failed if something failed and nothing was sent."""
+    sent, failed = F.count_if(F.col("status") == "sent"), F.count_if(F.col("status") == "failed")
+    final = F.when((sent == 0) & (failed > 0), "failed").otherwise("sent")
+    return merged.groupBy("broadcast_id").agg(F.count("*").alias("total"), sent.alias("n_sent"), failed.alias("n_failed"), final.alias("status"))

@@ -600,3 +600,66 @@ def run_log(spark, sf_dir: str) -> DataFrame:
 def engine_added_tags(spark, sf_dir: str) -> DataFrame:
     held = views.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("tag")).distinct()
     return runs.added_tags(_executed(spark, sf_dir), held)
+
+
+_STEPS_SQL = _EXECUTED_SQL[_EXECUTED_SQL.index("placed AS (SELECT *, min"):_EXECUTED_SQL.index("  top_all AS")].rstrip().rstrip(",")
+_PATHS_SQL = f"""WITH {_STEPS_SQL},
+  roots AS (SELECT *, 'steps[' || position || ']' AS path, 0 AS depth FROM steps WHERE parent_id = -1),
+  paths AS (SELECT * FROM roots UNION ALL SELECT s.*, r.path || '.' || s.branch || '.steps[' || s.position || ']', 1 FROM steps s JOIN roots r ON s.automation_id = r.automation_id AND s.parent_id = r.id)"""
+
+
+@query(f"{_PATHS_SQL} SELECT id, automation_id, path, depth FROM paths")
+def automation_paths(spark, sf_dir: str) -> DataFrame:
+    return rules.tree_paths(_steps(spark, sf_dir), 2).select("id", "automation_id", "path", "depth")
+
+
+@query(
+    f"""{_PATHS_SQL}, checked AS (SELECT automation_id, path, unnest([
+      CASE WHEN kind = 'send_message' AND trim(text_of_step) = '' THEN '.text|needs a text' END, CASE WHEN kind = 'wait' AND NOT amount > 0 THEN '.amount|needs a positive amount' END,
+      CASE WHEN kind = 'send_webhook' AND id % 3 = 2 THEN '.url|needs an address' END, CASE WHEN kind = 'send_webhook' AND id % 3 = 1 THEN '.url|needs http or https' END]) AS issue FROM paths)
+    SELECT automation_id, path || split_part(issue, '|', 1) AS path, split_part(issue, '|', 2) AS message FROM checked WHERE issue IS NOT NULL"""
+)
+def automation_issues(spark, sf_dir: str) -> DataFrame:
+    url = F.when(F.col("id") % 3 == 0, "https://hooks.example.com/in").when(F.col("id") % 3 == 1, "ftp://hooks.example.com/in")
+    steps = rules.tree_paths(_steps(spark, sf_dir), 2).withColumn("url", url).withColumn("text", F.col("text_of_step"))
+    return rules.step_issues(steps, "automation_id")
+
+
+@query(f"""WITH {_RUNS_SQL} SELECT automation_id, count(*) AS executions, max("at") AS last_executed_at FROM runs GROUP BY 1""")
+def dispatched_counts(spark, sf_dir: str) -> DataFrame:
+    return rules.execution_counts(_runs(spark, sf_dir))
+
+
+_RESULTS_SQL = """results AS (SELECT phone, event_id AS seq, event_id % 4 <> 0 AS accepted FROM events JOIN contacts ON events.user_id = contacts.id),
+  merged AS (SELECT c.id AS contact_id, c.user_id AS broadcast_id, arg_max(accepted, seq) AS accepted FROM contacts c LEFT JOIN results r ON c.phone = r.phone GROUP BY 1, 2)"""
+
+
+def _merged(spark, sf_dir: str) -> DataFrame:
+    """Contacts as recipients of a broadcast a tenant, and the answers of the delivery service by phone, in order."""
+    c = views.contacts(spark, sf_dir)
+    answers = views.table(spark, sf_dir, "events").join(c.select("id", "phone"), F.col("user_id") == F.col("id")).select("phone", F.col("event_id").alias("seq"), (F.col("event_id") % 4 != 0).alias("accepted"))
+    return status.merge_results(c.select(F.col("id").alias("contact_id"), F.col("user_id").alias("broadcast_id"), "phone"), answers)
+
+
+@query(with_views("", "contacts").rstrip() + f", {_RESULTS_SQL} SELECT contact_id, broadcast_id, CASE WHEN accepted THEN 'sent' WHEN accepted IS NULL THEN 'pending' ELSE 'failed' END AS status FROM merged")
+def send_result_merge(spark, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir).select("contact_id", "broadcast_id", "status")
+
+
+@query(
+    with_views("", "contacts").rstrip() + f""", {_RESULTS_SQL} SELECT broadcast_id, count(*) AS total, count(*) FILTER (accepted) AS n_sent, count(*) FILTER (NOT accepted) AS n_failed,
+    CASE WHEN count(*) FILTER (accepted) = 0 AND count(*) FILTER (NOT accepted) > 0 THEN 'failed' ELSE 'sent' END AS status FROM merged GROUP BY 1"""
+)
+def send_outcomes(spark, sf_dir: str) -> DataFrame:
+    return status.outcomes(_merged(spark, sf_dir))
+
+
+@query(
+    """SELECT id, name, phone, total, pages FROM (SELECT *, count(*) OVER () AS total, ceil(count(*) OVER () / 25.0)::BIGINT AS pages, row_number() OVER (ORDER BY id DESC) AS place FROM contacts
+    WHERE contains(lower(name), '1') OR contains(lower(phone), '00') OR contains(lower(name || '@example.com'), '9@')) WHERE place BETWEEN 26 AND 50""",
+    "contacts",
+)
+def search_page_with_total(spark, sf_dir: str) -> DataFrame:
+    c = views.contacts(spark, sf_dir).withColumn("email", F.concat("name", F.lit("@example.com")))
+    found = text.contains_text(F.col("name"), F.lit("1")) | text.contains_text(F.col("phone"), F.lit("00")) | text.contains_text(F.col("email"), F.lit("9@"))
+    return contacts.page_with_total(c.filter(found), [F.desc("id")], 2, 25).select("id", "name", "phone", "total", "pages")
