@@ -88,25 +88,28 @@ def _tiered(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("tier", F.when(size * 100 <= F.col("over"), 0).when(size * 10 <= F.col("over"), 1).when(size <= F.col("over"), 2).otherwise(3))
 
 
-def _before(rows: DataFrame, *order: str) -> DataFrame:
-    """Sums of size by source and order, each with the sum of those before it in its source."""
-    upto = Window.partitionBy("source_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("source_key", *order).agg(F.sum("size").alias("own"))
-    return sums.select("source_key", *order, (F.sum("own").over(upto) - F.col("own")).alias("before"))
-
-
-def _placed(tiered: DataFrame, buckets: DataFrame, tiers: DataFrame, most: float) -> DataFrame:
+def _before(tiered: DataFrame) -> DataFrame:
+    """One row a source and bucket: the words before it in the source's random order, and in that of each tier."""
+    upto = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("source_key")
+    own = [F.sum(F.when(F.col("tier") == i, F.col("size")).otherwise(0)).alias(f"own{i}") for i in range(4)]
+    earlier = [F.sum(f"own{i}").over(upto) - F.col(f"own{i}") for i in range(4)]
+    lower = [sum((F.sum(f"own{j}").over(whole) for j in range(i)), F.lit(0)) for i in range(4)]
+    tiers = F.array(*[a + b for a, b in zip(lower, earlier)])
+    return tiered.groupBy("source_key", "bucket").agg(*own).select("source_key", "bucket", sum(earlier, F.lit(0)).alias("before"), tiers.alias("tier_before"))
+
+
+def _placed(tiered: DataFrame, buckets: DataFrame, most: float) -> DataFrame:
     """Adds end (where the document ends in its source's random order), extra_end (in that of the tiers) and extra (taken once more)."""
-    inside = Window.partitionBy("source_key", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = Window.partitionBy("source_key", "tier", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order, upto = ("turn", "doc_id", "size"), (Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source_key", "bucket").orderBy(*order).rowsBetween(*upto)
+    within = Window.partitionBy("source_key", "bucket", "tier").orderBy(*order).rowsBetween(*upto)
     return (
         tiered.join(buckets, ["source_key", "bucket"])
         .withColumn("end", F.col("before") + F.sum("size").over(inside))
-        .drop("before")
-        .join(tiers, ["source_key", "tier", "bucket"])
-        .withColumn("extra_end", F.col("before") + F.sum("size").over(within))
+        .withColumn("extra_end", F.element_at("tier_before", F.col("tier") + 1) + F.sum("size").over(within))
         .withColumn("extra", (F.col("extra_end") <= F.col("over")) & (F.col("epochs") < F.lit(most)))
-        .drop("bucket", "before")
+        .drop("bucket", "before", "tier_before")
     )
 
 
@@ -120,9 +123,9 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sized = checkpoint(_sized(docs, id_col, text_col, source_col, seed))
     targets = checkpoint(source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most))
     tiered = _tiered(sized, targets)
-    buckets, tiers = checkpoint(_before(tiered, "bucket")), checkpoint(_before(tiered, "tier", "bucket"))
+    buckets = checkpoint(_before(tiered))
 
-    placed = _placed(tiered, buckets, tiers, most)
+    placed = _placed(tiered, buckets, most)
     gaps = placed.groupBy("source_key").agg(F.min(F.col("over") - F.when(F.col("extra"), F.col("extra_end")).otherwise(F.lit(0))).alias("gap"))
     off = F.abs(F.col("size") - F.col("gap"))
     fills = checkpoint(
@@ -134,7 +137,7 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     if payload:
         whole = _sized(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
-        placed = _placed(_tiered(whole, targets), buckets, tiers, most)
+        placed = _placed(_tiered(whole, targets), buckets, most)
 
     filled = F.coalesce((F.col("end") == F.col("fill_end")) & (F.col("size") > 0), F.lit(False))
     whole_epochs = F.transform(F.sequence(F.lit(0), F.col("epochs")), lambda c: (c * F.col("source_size") + F.col("end") - F.col("size")).cast("double"))
