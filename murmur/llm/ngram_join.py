@@ -53,7 +53,7 @@ AGREE = 2
 #: Odds that a pair at the threshold agrees on fewer than AGREE of the blocks drawn.
 MISSED = 1e-12
 #: Classes that a task remembers as sent.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Classes and n-grams of a row block.
 BLOCK_ROWS, BLOCK_NGRAMS = 6144, 3 << 20
 #: Rows of a block that one product takes at a time.
@@ -253,9 +253,9 @@ def _linked(percent: int):
     def group(table: pa.Table) -> pa.Table:
         """The products of one task -> (cluster, class, root, links): an edge to the smallest class it is connected with here."""
         parts: dict[tuple, dict[int, tuple[int, np.ndarray]]] = {}
-        columns = [table.column(c).to_pylist() for c in ("cluster", "low", "high", "class", "block", "grams")]
-        for cluster, low, high, name, block, grams in zip(*columns):
-            parts.setdefault((cluster, low, high), {})[name] = (block, np.frombuffer(grams, np.uint64))
+        columns = [table.column(c).to_pylist() for c in ("cluster", "low", "high", "class", "block")]
+        for cluster, low, high, name, block, grams in zip(*columns, table.column("grams")):
+            parts.setdefault((cluster, low, high), {})[name] = (block, np.frombuffer(grams.as_buffer(), np.uint64))
         out: list[tuple] = []
         for (cluster, low, high), rows in parts.items():
             names = sorted(rows, key=lambda c: (rows[c][0], c))

@@ -51,7 +51,7 @@ class _Known(dict):
 class TextEncoder:
     """encode(text) -> ids as little-endian unsigned integers of the given width in bytes."""
 
-    def __init__(self, path: str, width: int = 4, most: int = 600_000):
+    def __init__(self, path: str, width: int = 4, most: int = 200_000):
         single_threaded_tokenizers()
         from tokenizers import Tokenizer
 
