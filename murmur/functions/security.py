@@ -21,11 +21,15 @@ def signature_holds(body: Column, header: Column, secret: str) -> Column:
     return F.coalesce(header == F.concat(F.lit("sha256="), hmac_sha256(body, secret)), F.lit(False))
 
 
+def _packed_once(packed: Column, cut) -> Column:
+    """cut(packed) with packed evaluated once: every evaluation draws another initial vector."""
+    return F.get(F.transform(F.array(F.lower(F.hex(packed))), cut), F.lit(0))
+
+
 def encrypt_token(plain: Column, key_hex: str) -> Column:
-    """AES-256-GCM as ``iv:ciphertext:tag`` in hex; Spark's own function packs the three in this order but tag last."""
-    packed = F.lower(F.hex(F.aes_encrypt(plain, F.unhex(F.lit(key_hex)), F.lit("GCM"))))
-    n = F.length(packed)
-    return F.concat_ws(":", F.substring(packed, 1, 24), F.substring(packed, F.lit(25), n - 56), F.substring(packed, n - 31, F.lit(32)))
+    """AES-256-GCM as ``iv:ciphertext:tag`` in hex, in the order in which Spark's own function packs the three."""
+    cut = lambda p: F.concat_ws(":", F.substring(p, 1, 24), F.substring(p, F.lit(25), F.length(p) - 56), F.right(p, F.lit(32)))
+    return _packed_once(F.aes_encrypt(plain, F.unhex(F.lit(key_hex)), F.lit("GCM")), cut)
 
 
 def decrypt_token(token: Column, key_hex: str) -> Column:
@@ -35,3 +39,21 @@ def decrypt_token(token: Column, key_hex: str) -> Column:
 
 def is_legacy_token(token: Column) -> Column:
     return F.size(F.split(token, ":")) == 2
+
+
+def encrypt_legacy_token(plain: Column, key_hex: str) -> Column:
+    """AES-256-CBC as ``iv:ciphertext`` in hex, the older form."""
+    cut = lambda p: F.concat_ws(":", F.substring(p, 1, 32), F.substring(p, F.lit(33), F.length(p)))
+    return _packed_once(F.aes_encrypt(plain, F.unhex(F.lit(key_hex)), F.lit("CBC")), cut)
+
+
+def decrypt_any_token(token: Column, key_hex: str) -> Column:
+    """Tokens of both forms; null where they can't be read."""
+    old = F.try_aes_decrypt(F.unhex(F.replace(token, F.lit(":"), F.lit(""))), F.unhex(F.lit(key_hex)), F.lit("CBC")).cast("string")
+    return F.when(is_legacy_token(token), old).otherwise(decrypt_token(token, key_hex))
+
+
+def renewed_token(token: Column, key_hex: str) -> Column:
+    """A token of the older form that can be read, encrypted anew; any other as it is."""
+    plain = decrypt_any_token(token, key_hex)
+    return F.when(is_legacy_token(token) & plain.isNotNull(), encrypt_token(plain, key_hex)).otherwise(token)

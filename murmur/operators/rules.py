@@ -68,3 +68,26 @@ def step_issues(steps: DataFrame, *keep: str) -> DataFrame:
 
 def execution_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("automation_id").agg(F.count("*").alias("executions"), F.max("at").alias("last_executed_at"))
+
+
+def trigger_issues(rules: DataFrame) -> DataFrame:
+    """(id, trigger, keywords, match_type, schedule, tag) -> (id, path, message), one row for each problem of a rule's trigger."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    issue = lambda bad, field, text: F.when(bad, F.struct(F.lit(f"trigger.{field}").alias("path"), F.lit(text).alias("message")))
+    kind, words = F.col("trigger"), F.col("keywords")
+    none = words.isNull() | (F.size(words) == 0)
+    checks = F.array(
+        issue((kind == "keyword_match") & none, "keywords", "at least one keyword is required"),
+        issue((kind == "keyword_match") & ~none & F.exists(words, blank), "keywords", "keywords cannot be empty strings"),
+        issue((kind == "keyword_match") & ~F.coalesce(F.col("match_type").isin("exact", "contains"), F.lit(False)), "match_type", 'match type must be "exact" or "contains"'),
+        issue((kind == "time_based") & blank(F.col("schedule")), "schedule", "schedule is required"),
+        issue((kind == "tag_added") & blank(F.col("tag")), "tag_id", "tag is required"),
+    )
+    return rules.select("id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("i")).select("id", "i.path", "i.message")
+
+
+def may_activate(rules: DataFrame, issues: DataFrame) -> DataFrame:
+    """Rules with the number of issues (id, ...) they have; those that are to be active and have one stay off."""
+    n = issues.groupBy("id").agg(F.count("*").alias("n_issues"))
+    rows = rules.join(n, "id", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+    return rows.withColumn("is_active", F.col("is_active") & (F.col("n_issues") == 0))

@@ -34,16 +34,19 @@ def _status() -> Column:
     return F.when(failed, "failed").when(kind == "wait", "partial").when(skipped, "skipped").otherwise("success")
 
 
-def execute(runs: DataFrame, steps: DataFrame, depth: int = 3) -> DataFrame:
+def execute(runs: DataFrame, steps: DataFrame, depth: int = 3, parked: DataFrame | None = None) -> DataFrame:
     """runs of ``dispatch`` and a table of steps (STEP) -> one row a step that was run: event_id, automation_id, STEP, body, run_at, status, chosen.
 
-    chosen is the branch that a condition opened; depth is that of the deepest tree.
+    chosen is the branch that a condition opened; depth is that of the deepest tree. With rows of ``parked``, their runs
+    go on in the parked scope from next_position, and nothing else runs.
     """
-    scopes = runs.withColumns({"parent_id": F.lit(-1).cast("long"), "branch": F.lit("")})
+    scopes = runs.withColumns({"parent_id": F.lit(-1).cast("long"), "branch": F.lit(""), "next_position": F.lit(0)})
+    if parked is not None:
+        scopes = runs.join(parked.select("event_id", "automation_id", "parent_id", "branch", "next_position"), ["event_id", "automation_id"])
     done = None
     scope = Window.partitionBy("event_id", "automation_id", "parent_id", "branch")
     for _ in range(depth):
-        rows = scopes.join(steps, ["automation_id", "parent_id", "branch"])
+        rows = scopes.join(steps, ["automation_id", "parent_id", "branch"]).filter(F.col("position") >= F.col("next_position")).drop("next_position")
         rows = rows.withColumn("body", F.when(F.col("kind").isin("send_message", "create_deal"), interpolate(F.col("text_of_step"), F.col("text"), F.create_map().cast("map<string,string>"))).when(F.col("kind") == "send_webhook", F.to_json(F.struct("event_id", "automation_id", F.col("text").alias("message")))))
         rows = rows.withColumn("status", _status()).withColumn("run_at", F.when(F.col("kind") == "wait", F.timestamp_add("MILLISECOND", wait_ms(F.col("amount"), F.col("unit")), F.col("at"))))
         holds = F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower("text_of_step"))
@@ -51,7 +54,7 @@ def execute(runs: DataFrame, steps: DataFrame, depth: int = 3) -> DataFrame:
         stop = F.min(F.when(F.col("status").isin("failed", "partial"), F.col("position"))).over(scope)
         rows = rows.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("position") <= F.col("stop"))).drop("stop")
         done = rows if done is None else done.unionByName(rows)
-        opened = rows.filter("kind = 'condition'").select("event_id", "automation_id", "user_id", "at", "text", "trigger", F.col("id").alias("parent_id"), F.col("chosen").alias("branch"))
+        opened = rows.filter("kind = 'condition'").select("event_id", "automation_id", "user_id", "at", "text", "trigger", F.col("id").alias("parent_id"), F.col("chosen").alias("branch"), F.lit(0).alias("next_position"))
         scopes = opened
     return done
 

@@ -29,5 +29,5 @@ def explode_webhook(bodies: DataFrame) -> dict[str, DataFrame]:
     place = F.concat_ws(" - ", F.nullif(F.col("m.location.name"), F.lit("")), F.nullif(F.col("m.location.address"), F.lit("")), F.concat_ws(", ", F.col("m.location.latitude").cast("string"), F.col("m.location.longitude").cast("string")))
     content = F.when(kind == "text", F.col("m.text.body")).when(kind == "location", place).when(kind == "image", F.col("m.image.caption")).when(kind == "video", F.col("m.video.caption")).when(kind == "document", F.coalesce("m.document.caption", "m.document.filename")).when(kind == "reaction", F.col("m.reaction.emoji"))
     shown = F.when(kind == "sticker", "image").when(kind.isin("text", "image", "video", "document", "audio", "location", "reaction"), kind).otherwise("text")
-    messages = rows.select(F.col("m.id").alias("id"), F.col("m.from").alias("sender"), shown.alias("kind"), content.alias("content"), seconds(F.col("m.timestamp")).alias("sent_at"), F.col("m.context.id").alias("reply_to"), person["profile"]["name"].alias("contact_name"), "phone_number_id")
+    messages = rows.select(F.col("m.id").alias("id"), F.col("m.from").alias("sender"), shown.alias("kind"), content.alias("content"), seconds(F.col("m.timestamp")).alias("sent_at"), F.col("m.context.id").alias("reply_to"), F.col("m.reaction.message_id").alias("reacted_to"), person["profile"]["name"].alias("contact_name"), "phone_number_id")
     return {"messages": messages, "statuses": states}
