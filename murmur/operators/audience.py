@@ -65,3 +65,19 @@ def payloads(contacts: DataFrame, values: DataFrame, variables: dict[str, tuple[
     begins = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begins"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("id")) + F.col("begins") - 1
     return rows.join(begins, "range").select("id", "phone", F.concat_ws("|", "params").alias("params"), is_e164(F.col("phone")).alias("valid"), F.floor(place / batch).alias("batch"))
+
+
+def estimate(kind: str, contacts: DataFrame, contact_tags: DataFrame, excluded: list[str], base: DataFrame | None = None) -> DataFrame:
+    """One row with n, as the wizard shows it: "all" is all contacts less the number of excluded ones (not below 0, without looking
+    whether those are among them); "ids" is the distinct contact_id of base less the excluded; "csv" the rows of base, copies and
+    excluded ones too; anything else is not set up yet and null.
+    """
+    out = contact_tags.filter(F.col("tag").isin(excluded)).select("contact_id").distinct()
+    if kind == "all":
+        each = contacts.select(F.lit(1).alias("d")).unionByName(out.select(F.lit(-1).alias("d")))
+        return each.agg(F.greatest(F.lit(0), F.coalesce(F.sum("d"), F.lit(0))).cast("long").alias("n"))
+    if kind == "ids":
+        return base.select("contact_id").distinct().join(out, "contact_id", "left_anti").agg(F.count("*").alias("n"))
+    if kind == "csv":
+        return base.agg(F.count("*").alias("n"))
+    return contacts.sparkSession.range(1).select(F.lit(None).cast("long").alias("n"))

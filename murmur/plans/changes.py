@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmur.functions import security
-from murmur.operators import changes, dashboard, inbound, messaging, rules, runs, status, templates
+from murmur.operators import audience, changes, dashboard, inbound, messaging, rules, runs, status, templates
 from murmur.plans import queries as q
 from murmur.plans.queries import ORACLE_SQL, QUERIES, query  # noqa: F401
 from murmur.sources import views
 from murmur.sources.webhook import explode_webhook
+from murmur.streaming import folds
 
 #: The default stages of a tenant's first pipeline; a fixture, as the colours and names are data.
 STAGES = [("New", "blue"), ("Qualified", "green"), ("Proposal", "amber"), ("Won", "violet"), ("Lost", "red")]
@@ -356,3 +357,23 @@ def tokens_renewed(spark, sf_dir: str) -> DataFrame:
     old = F.when(F.col("event_id") % 2 == 0, security.encrypt_legacy_token(F.col("props"), key)).otherwise(security.encrypt_token(F.col("props"), key))
     e = views.table(spark, sf_dir, "events").select("event_id", old.alias("old")).withColumn("token", security.renewed_token(F.col("old"), key))
     return e.select("event_id", security.decrypt_any_token(F.col("token"), key).alias("plain"), (F.size(F.split("token", ":")) == 3).alias("three_parts"), security.is_legacy_token(F.col("old")).alias("renewed"))
+
+
+@query("SELECT conversation_id, arg_max(coalesce(content_text, ''), (created_at, id)) AS last_message_text, max(created_at) AS last_message_at, count(*) FILTER (conversation_id <> 7) AS unread_count FROM messages GROUP BY 1", "messages")
+def conversation_previews(spark, sf_dir: str) -> DataFrame:
+    return folds.stream_previews(views.messages(spark, sf_dir), 7)
+
+
+@query(
+    """SELECT 'all' AS kind, greatest(0, (SELECT count(*) FROM contacts) - (SELECT count(DISTINCT contact_id) FROM contact_tags WHERE tag = '1-URGENT')) AS n
+    UNION ALL SELECT 'tags', count(DISTINCT contact_id) FROM contact_tags WHERE tag IN ('2-HIGH', '5-LOW') AND contact_id NOT IN (SELECT contact_id FROM contact_tags WHERE tag = '1-URGENT')
+    UNION ALL SELECT 'field', count(DISTINCT contact_id) FROM custom_values WHERE field = 'segment' AND value <> 'BUILDING' AND contact_id NOT IN (SELECT contact_id FROM contact_tags WHERE tag = '1-URGENT')
+    UNION ALL SELECT 'csv', count(*) FROM orders UNION ALL SELECT 'incomplete', NULL""",
+    "contacts", "contact_tags", "custom_values",
+)
+def audience_estimate_cases(spark, sf_dir: str) -> DataFrame:
+    c, t = views.contacts(spark, sf_dir), views.contact_tags(spark, sf_dir)
+    one = lambda name, kind, base=None: audience.estimate(kind, c, t, ["1-URGENT"], base).select(F.lit(name).alias("kind"), "n")
+    out = one("all", "all").unionByName(one("tags", "ids", t.filter(F.col("tag").isin("2-HIGH", "5-LOW"))))
+    out = out.unionByName(one("field", "ids", views.custom_values(spark, sf_dir).filter("field = 'segment' AND value != 'BUILDING'")))
+    return out.unionByName(one("csv", "csv", views.table(spark, sf_dir, "orders"))).unionByName(one("incomplete", "none"))

@@ -423,7 +423,12 @@ def template_sync_actions(spark, sf_dir: str) -> DataFrame:
     return contacts.sync_actions(old, p, ["id"], ["size"]).select("id", "action")
 
 
-@query()
+@query(
+    """WITH RECURSIVE calls AS (SELECT user_id AS key, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+    fold AS (SELECT key, seq, turn, ts AS opened, 1 AS used FROM calls WHERE turn = 1
+      UNION ALL SELECT c.key, c.seq, c.turn, CASE WHEN c.ts >= opened + INTERVAL 6 HOUR THEN c.ts ELSE opened END, CASE WHEN c.ts >= opened + INTERVAL 6 HOUR THEN 1 ELSE used + 1 END FROM fold f JOIN calls c ON c.key = f.key AND c.turn = f.turn + 1)
+    SELECT key, seq, used <= 3 AS allowed FROM fold"""
+)
 def rate_limiter(spark, sf_dir: str) -> DataFrame:
     calls = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
     return messaging.rate_limited(calls, 3, 6 * 3600 * 1000)

@@ -80,3 +80,27 @@ def stream_unread(messages: DataFrame) -> DataFrame:
 
     timed = messages.select("conversation_id", "sender_type", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
     return timed.groupBy("conversation_id").applyInPandasWithState(fold, "conversation_id long, unread_count long", "answered long, waiting array<long>", "update", "NoTimeout")
+
+
+def stream_message_feed(feed: DataFrame) -> DataFrame:
+    """(id, op, at, seq, ...) change feed -> the latest form of each message; provisional rows (``temp-``) and deletions are left out."""
+    return stream_latest(feed.filter("op != 'DELETE'").filter(~F.col("id").startswith("temp-")), ["id"], ["at", "seq"])
+
+
+def stream_previews(messages: DataFrame, active: int | None = None) -> DataFrame:
+    """messages -> each conversation's last text and time, and how many came, of any sender; none for the one that is open.
+
+    Plain aggregation, so it is its own batch twin.
+    """
+    unread = F.count("*") if active is None else F.count_if(F.col("conversation_id") != active)
+    rows = messages.groupBy("conversation_id").agg(F.max_by(F.coalesce("content_text", F.lit("")), F.struct("created_at", "id")).alias("last_message_text"), F.max("created_at").alias("last_message_at"), unread.alias("unread_count"))
+    return rows.select("conversation_id", "last_message_text", "last_message_at", "unread_count")
+
+
+def stream_reactions(events: DataFrame, messages: DataFrame) -> DataFrame:
+    """(message_id, actor_id, emoji, at, seq) stream and a static table of messages (id) -> each actor's last reaction.
+
+    Reactions to unknown messages are dropped before the state; an empty emoji takes a reaction back.
+    """
+    there = messages.select(F.col("id").alias("message_id"))
+    return stream_latest(events.join(there, "message_id", "left_semi"), ["message_id", "actor_id"], ["at", "seq"]).filter("emoji != ''").drop("seq")

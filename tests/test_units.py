@@ -175,3 +175,40 @@ def test_more_streams(spark, sf, tmp_path, case):
         want = messaging.conversations(views.messages(spark, sf)).select("conversation_id", "unread_count")
     columns = sorted(want.columns)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+@pytest.mark.parametrize("case", ["feed", "previews", "reactions"])
+def test_feeds(spark, sf, tmp_path, case):
+    e = views.table(spark, sf, "events")
+    if case == "feed":
+        name = F.concat(F.when(F.col("event_id") % 9 == 0, "temp-").otherwise("m"), (F.col("event_id") % 50).cast("string"))
+        feed = e.select(name.alias("id"), F.when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE").alias("op"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+        got = run_stream(spark, feed, tmp_path, "feed_out", folds.stream_message_feed, "complete")
+        want = contacts.latest_per_key(feed.filter("op != 'DELETE' AND id NOT LIKE 'temp-%'"), ["id"], [F.desc("at"), F.desc("seq")])
+    elif case == "previews":
+        rows = views.messages(spark, sf)
+        got = run_stream(spark, rows, tmp_path, "preview_out", lambda s: folds.stream_previews(s, 7), "complete")
+        want = folds.stream_previews(rows, 7)
+    else:
+        emoji = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+        rows = e.select(F.floor(F.col("event_id") / 5).alias("message_id"), (F.col("user_id") % 4).alias("actor_id"), emoji.alias("emoji"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+        known = spark.range(0, 150).toDF("id")
+        got = run_stream(spark, rows, tmp_path, "reaction_out", lambda s: folds.stream_reactions(s, known), "complete")
+        want = messaging.latest_reactions(rows.filter("message_id < 150"))
+    columns = sorted(want.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect())) != []
+
+
+def test_changes_with_nulls_and_empty_tables(spark):
+    from murmur.operators import changes
+
+    rows = spark.createDataFrame([(1, "a", 5), (2, None, None), (None, "c", 7)], "id int, x string, n int")
+    new = spark.createDataFrame([(1, None), (2, "z"), (9, "q")], "id int, x string")
+    order = lambda frame: sorted(map(tuple, frame.collect()), key=repr)
+    assert order(changes.update_by_key(rows, new, ["id"])) == order(spark.createDataFrame([(1, None, 5), (2, "z", None), (None, "c", 7)], rows.schema))
+    assert order(changes.update_by_key(rows, new.limit(0), ["id"])) == order(rows)
+    assert changes.replace_children(rows, rows, rows.limit(0), "id").collect() == [(None, "c", 7)]
+    state = spark.createDataFrame([(1, "pending"), (2, "running")], "id int, status string")
+    ids = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    once = changes.claim(state, ids, "id")
+    assert once.collect() == [(1, "running")] and changes.claim(once, ids, "id").count() == 0
