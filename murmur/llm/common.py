@@ -103,3 +103,9 @@ def single_threaded_tokenizers() -> None:
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def crc32_sql(numbers: str) -> str:
+    """SQL of the crc32 of a list of bytes: eight steps of shifting for each."""
+    shift = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {numbers}), lambda c, b: {shift}), 4294967295)"
