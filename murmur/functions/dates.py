@@ -34,6 +34,16 @@ def within_day(ts: Column, window: str) -> Column:
     return (minute >= begin) | (minute < end)
 
 
+def within_window(ts: Column, window: Column) -> Column:
+    """As ``within_day`` for windows that differ by row; parts that are no numbers are 0, a window without both ends holds nothing."""
+    part = lambda i: F.get(F.split(window, "-"), F.lit(i))
+    number = lambda x: F.coalesce(F.trim(x).try_cast("int"), F.lit(0))
+    minutes = lambda x: number(F.get(F.split(x, ":"), F.lit(0))) * 60 + number(F.get(F.split(x, ":"), F.lit(1)))
+    begin, end, now = minutes(part(0)), minutes(part(1)), F.hour(ts) * 60 + F.minute(ts)
+    inside = F.when(begin <= end, (now >= begin) & (now < end)).otherwise((now >= begin) | (now < end))
+    return F.coalesce((part(0) != "") & (part(1) != "") & inside, F.lit(False))
+
+
 def ago(seconds: Column) -> Column:
     """Short age of an entry: 5s, 3m, 2h, 4d."""
     s = F.greatest(F.lit(1), F.floor(seconds + F.lit(0.5)))

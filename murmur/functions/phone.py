@@ -33,4 +33,4 @@ def variants(sanitized: Column) -> Column:
 
 
 def is_not_allowed_error(message: Column) -> Column:
-    return F.coalesce(message, F.lit("")).rlike("(?i)131030|not in allowed list")
+    return F.coalesce(message, F.lit("")).rlike("(?i)131030|not in (the )?allowed list")

@@ -30,17 +30,43 @@ def render(body: Column, params: Column, keep_blank: bool = True) -> Column:
 
 
 def interpolate(body: Column, message: Column, variables: Column) -> Column:
-    """``{{ message.text }}`` and ``{{vars.x}}``; every other name becomes empty."""
-    pattern = r"\{\{\s*([^}]*?)\s*\}\}"
+    """``{{ message.text }}`` and ``{{vars.x}}``; every other name of word characters and dots becomes empty, other braces stay."""
+    pattern = r"\{\{\s*([\w.]+)\s*\}\}"
     names = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
 
     def value(name: Column) -> Column:
-        own = F.when(name.startswith("vars."), F.element_at(variables, F.substring(name, 6, 200)))
-        return F.coalesce(F.when(name == "message.text", message).otherwise(own), F.lit(""))
+        parts = F.split(name, r"\.")
+        space, own = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+        return F.coalesce(F.when((space == "message") & (own == "text"), message).when(space == "vars", F.try_element_at(variables, own)), F.lit(""))
 
     return F.array_join(F.zip_with(F.split(body, pattern, -1), F.transform(names, value), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
 
+def numbered_first(entries: Column) -> Column:
+    """Entries (key, ...) of a map of variables in order: keys that are numbers by number, then the others by text.
+
+    Keys of the same number (``1`` and ``1.0``) keep the order of the map. An empty key counts as 0.
+    """
+
+    def number(key: Column) -> Column:
+        written = F.trim(key)
+        return F.when(written == "", 0.0).when(written.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), written.try_cast("double"))
+
+    def order(a: Column, b: Column) -> Column:
+        x, y = number(a["key"]), number(b["key"])
+        sign = lambda less, more: F.when(less, -1).when(more, 1).otherwise(0)
+        both = x.isNotNull() & y.isNotNull()
+        return F.when(both, sign(x < y, x > y)).when(x.isNotNull(), -1).when(y.isNotNull(), 1).otherwise(sign(a["key"] < b["key"], a["key"] > b["key"]))
+
+    return F.array_sort(entries, order)
+
+
+def ordered_values(variables: Column) -> Column:
+    """The values of a map of variables, numbers first, as the positional parameters of a template; a null map has none, a null value is empty."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.transform(numbered_first(F.map_entries(variables)), lambda e: F.coalesce(e["value"], F.lit(""))), none)
+
+
 def initials(name: Column, most: int = 2) -> Column:
     words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
     return F.upper(F.array_join(F.transform(F.slice(words, F.lit(1), F.lit(most)), lambda w: F.left(w, F.lit(1))), ""))

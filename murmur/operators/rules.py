@@ -18,6 +18,15 @@ def keyword_matches(text: Column, keywords: list[str], exact: bool = False, case
     return (value != "") & out
 
 
+def rule_matches(text: Column, keywords: Column, match_type: Column, case_sensitive: Column) -> Column:
+    """Keywords that differ by rule: any of the array is in the text or, where match_type is exact, is the text; no keywords or no text: no match."""
+    value = F.coalesce(text, F.lit(""))
+    exact, cased = F.coalesce(match_type == "exact", F.lit(False)), F.coalesce(case_sensitive, F.lit(False))
+    met = lambda word, whole: F.when(exact, whole == word).otherwise(F.contains(whole, word))
+    found = F.exists(keywords, lambda k: F.coalesce(F.when(cased, met(k, value)).otherwise(met(F.lower(k), F.lower(value))), F.lit(False)))
+    return (value != "") & F.coalesce(found, F.lit(False))
+
+
 def step_paths(steps: DataFrame) -> DataFrame:
     """(id, parent_id, branch, position, kind) -> path of every step that hangs on a root; orphans are left out."""
     steps.createOrReplaceTempView("murmur_steps")

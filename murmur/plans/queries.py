@@ -548,7 +548,7 @@ def _runs(spark, sf_dir: str) -> DataFrame:
 
 
 def _executed(spark, sf_dir: str) -> DataFrame:
-    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir), depth=2)
+    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir))
 
 
 def _level(name: str, source: str) -> str:
@@ -593,7 +593,7 @@ def step_outbox(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, parent_id, branch, (position + 1)::INTEGER AS next_position, run_at FROM executed WHERE status = 'partial'")
 def parked_steps(spark, sf_dir: str) -> DataFrame:
-    return runs.parked(_executed(spark, sf_dir))
+    return runs.parked(_executed(spark, sf_dir)).drop("way", "above")
 
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'partial') THEN 'partial' ELSE 'success' END AS status, count(*) AS n_steps, string_agg(id || ':' || status, ',' ORDER BY parent_id, branch, position) AS steps FROM executed GROUP BY ALL")

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from murmur.plans.changes import ORACLE_SQL, QUERIES
+from murmur.plans.all import ORACLE_SQL, QUERIES
 
 
 def plain(x):
