@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ("phone", "name", "email", "company")
-#: A field, from the begin of the line or a comma on; possessive, so that no line takes longer than its length.
-FIELD = r"""(?:^|,)((?:[^",]++|"[^"]*+(?:"|$))*+)"""
+#: A comma and the field behind it, of a line with a comma put before it; possessive, so that no line takes longer than its length.
+FIELD = r""",((?:[^",]++|"[^"]*+(?:"|$))*+)"""
+#: White space as a browser trims it.
+BLANK = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: A character that no line holds, so that Spark's reader takes each line as one column and the first as the header.
 NEVER = "\u0001"
 
 
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{BLANK}++|{BLANK}++$", "")
+
+
 def cut_fields(line: Column) -> Column:
-    """The fields of a line, without quotes of either kind and without blanks around them."""
-    return F.transform(F.regexp_extract_all(F.trim(line), F.lit(FIELD), F.lit(1)), lambda v: F.trim(F.regexp_replace(v, "[\"']", "")))
+    """The fields of a line, without quotes of either kind and without white space around them."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), _trimmed(line)), F.lit(FIELD), F.lit(1))
+    return F.transform(fields, lambda v: _trimmed(F.regexp_replace(v, "[\"']", "")))
 
 
 def header_places(header: str) -> dict[str, int]:

@@ -51,9 +51,10 @@ def poll(read: Callable[[], DataFrame], pending, seen: Callable[[DataFrame, int]
     n = 0
     while most is None or n < most:
         rows = read()
+        settled = rows.filter(pending).isEmpty()
         seen(rows, n)
         n += 1
-        if rows.filter(pending).isEmpty():
+        if settled:
             break
         time.sleep(seconds)
     return n
