@@ -51,6 +51,14 @@ def ago(seconds: Column) -> Column:
     return F.when(s < 60, cut(1, "s")).when(s < 3600, cut(60, "m")).when(s < 86400, cut(3600, "h")).otherwise(cut(86400, "d"))
 
 
+def since(then: Column, now: Column) -> Column:
+    """How long ago, in words of a list of rules; a date from 30 days on, "never" without one."""
+    s = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1_000_000 + F.lit(0.5))
+    cut = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f"{unit} ago"))
+    words = F.when(s < 60, "just now").when(s < 3600, cut(60, "m")).when(s < 86400, cut(3600, "h")).when(s < 2_592_000, cut(86400, "d")).otherwise(F.date_format(then, "yyyy-MM-dd"))
+    return F.coalesce(words, F.lit("never"))
+
+
 def duration(minutes: Column) -> Column:
     """Seconds below a minute, minutes below an hour, else hours with one decimal."""
     half_up = lambda x: F.floor(x + F.lit(0.5))

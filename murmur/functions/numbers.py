@@ -27,3 +27,13 @@ def delta_label(delta: Column, suffix: str) -> Column:
 
 def currency(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(half_up(value), 0))
+
+
+def parsed(x: Column) -> Column:
+    """The number that a text begins with, as a form reads it; 0 for none."""
+    return F.coalesce(F.regexp_extract(F.ltrim(x), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0).try_cast("double"), F.lit(0.0))
+
+
+def useful_sizes(loaded: Column, sizes: list[int]) -> Column:
+    """Of the page sizes, ascending, the first and those larger than one that already shows all."""
+    return F.filter(F.array(*map(F.lit, sizes)), lambda s, i: (i == 0) | (loaded > F.element_at(F.array(*map(F.lit, sizes)), F.greatest(i, F.lit(1)))))

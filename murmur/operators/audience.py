@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmur.functions.phone import digits, is_e164
+from murmur.operators.campaigns import parameters
 
 
 def without_tags(contacts: DataFrame, contact_tags: DataFrame, excluded: list[str]) -> DataFrame:
@@ -40,13 +41,8 @@ def field_index(values: DataFrame) -> DataFrame:
 
 def resolve(variables: dict[str, tuple[str, str]], fields: Column, contact: dict[str, Column]) -> Column:
     """array of the values of numbered variables, numbers first and in order; (static | field | custom_field, value)."""
-    order = sorted(variables, key=lambda k: (not k.isdigit(), int(k) if k.isdigit() else 0, k))
-
-    def one(kind: str, value: str) -> Column:
-        found = F.lit(value) if kind == "static" else contact.get(value, F.lit(None)) if kind == "field" else F.try_element_at(fields, F.lit(value))
-        return F.coalesce(found, F.lit(""))
-
-    return F.array(*[one(*variables[k]) for k in order])
+    named = F.map_from_arrays(F.array(*map(F.lit, variables)), F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(value).alias("value")) for kind, value in variables.values()]))
+    return parameters(named, F.create_map(*[x for c, v in contact.items() for x in (F.lit(c), v)]), fields)
 
 
 def payloads(contacts: DataFrame, values: DataFrame, variables: dict[str, tuple[str, str]], batch: int = 10) -> DataFrame:

@@ -27,22 +27,6 @@ def rule_matches(text: Column, keywords: Column, match_type: Column, case_sensit
     return (value != "") & F.coalesce(found, F.lit(False))
 
 
-def step_paths(steps: DataFrame) -> DataFrame:
-    """(id, parent_id, branch, position, kind) -> path of every step that hangs on a root; orphans are left out."""
-    steps.createOrReplaceTempView("murmur_steps")
-    return steps.sparkSession.sql(
-        """
-        WITH RECURSIVE tree AS (
-          SELECT id, kind, 0 AS depth, concat('steps[', position, ']') AS path FROM murmur_steps WHERE parent_id IS NULL
-          UNION ALL
-          SELECT s.id, s.kind, t.depth + 1, concat(t.path, '.', s.branch, '.steps[', s.position, ']')
-          FROM murmur_steps s JOIN tree t ON s.parent_id = t.id
-        )
-        SELECT id, kind, depth, path FROM tree
-        """
-    )
-
-
 def tree_paths(steps: DataFrame, depth: int) -> DataFrame:
     """(id, automation_id, parent_id, branch, position, ...) -> the same with path and depth of every step that hangs on a root (parent_id -1).
 

@@ -467,20 +467,6 @@ def format_labels(spark, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", dates.ago(seconds).alias("ago"), numbers.delta_label(F.col("user_id") - 8, "vs yesterday").alias("delta"), numbers.nice_ceil(F.col("value")).alias("ceiling"))
 
 
-_STEPS = [(1, None, None, 0, "condition"), (2, 1, "yes", 0, "add_tag"), (3, 1, "no", 0, "wait"), (4, 3, "yes", 0, "send_message"), (5, None, None, 1, "send_webhook"), (6, 99, "yes", 0, "wait")]
-
-
-@query("SELECT * FROM (VALUES (1, 'condition', 0, 'steps[0]'), (2, 'add_tag', 1, 'steps[0].yes.steps[0]'), (3, 'wait', 1, 'steps[0].no.steps[0]'), (4, 'send_message', 2, 'steps[0].no.steps[0].yes.steps[0]'), (5, 'send_webhook', 0, 'steps[1]')) t(id, kind, depth, path)")
-def steps_tree_paths(spark, sf_dir: str) -> DataFrame:
-    return rules.step_paths(spark.createDataFrame(_STEPS, "id int, parent_id int, branch string, position int, kind string"))
-
-
-@query("SELECT * FROM (VALUES ('steps[0].text', 'needs a text'), ('steps[1].amount', 'needs a positive amount'), ('steps[1].unit', 'needs minutes, hours or days'), ('steps[2].url', 'needs http or https'), ('steps[3].tag_id', 'needs a tag')) t(path, message)")
-def validate_steps(spark, sf_dir: str) -> DataFrame:
-    rows = [("steps[0]", "send_message", " ", None, None, None, None), ("steps[1]", "wait", None, None, 0.0, "seconds", None), ("steps[2]", "send_webhook", None, None, None, None, "ftp://x.example/a"), ("steps[3]", "add_tag", None, "", None, None, None), ("steps[4]", "send_webhook", None, None, None, None, "https://x.example/")]
-    return rules.step_issues(spark.createDataFrame(rows, "path string, kind string, text string, tag string, amount double, unit string, url string"))
-
-
 @query("SELECT event_id::VARCHAR AS id, user_id::VARCHAR AS sender, 'text' AS kind, props AS content, to_timestamp(epoch(date_trunc('second', ts)))::TIMESTAMP AS sent_at, 'user ' || user_id AS contact_name FROM events")
 def webhook_explode(spark, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")

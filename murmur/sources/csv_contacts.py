@@ -22,8 +22,3 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """Every field quoted, quotes doubled, null empty."""
     text = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
     text.write.option("emptyValue", "").csv(path, header=True, quoteAll=True, escape='"')
-
-
-def split_rejects(rows: DataFrame, good) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by a condition; null counts as rejected."""
-    return rows.filter(F.coalesce(good, F.lit(False))), rows.filter(~F.coalesce(good, F.lit(False)))

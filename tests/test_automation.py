@@ -342,3 +342,32 @@ def test_chunks_and_imports_of_awkward_tables(spark):
     got = {(r["chunk"], r["imported"], r["failed"], r["row_by_row"]) for r in sends.import_in_chunks(rows.filter("g = 1"), "g", F.col("fits"), "i", size=5).collect()}
     assert got == {(0, 4, 1, True), (1, 4, 1, True), (2, 2, 0, False)}
     assert sends.insert_in_chunks(rows.limit(0), "g", F.col("fits"), "i").count() == 0
+
+
+# --- replies ---
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_replies_equal_a_stack(spark, parts):
+    from murmur.operators import replies
+
+    rng = random.Random(parts)
+    sent = [(rng.choice((0, 0, 0, 0, 1, 2, 3)), START + timedelta(hours=rng.randrange(60)), rng.choice(("sent", "delivered", "read", "failed", "pending")), f"{i:05}") for i in range(500)]
+    heard = [(rng.choice((0, 0, 0, 0, 1, 2, 9)), START + timedelta(hours=rng.randrange(60)), i) for i in range(500)]
+    stacks, want = {}, {}
+    moves = [(c, at, 0, name, None) for c, at, s, name in sent if s in replies.OPEN] + [(c, at, 1, f"{i:020}", i) for c, at, i in heard]
+    for c, _, kind, name, i in sorted(moves, key=lambda m: m[:4]):
+        if kind == 0:
+            stacks.setdefault(c, []).append(name)
+        elif stacks.get(c):
+            want[i] = stacks[c].pop()
+    people = spark.createDataFrame(sent, "contact_id long, created_at timestamp_ntz, status string, order string").withColumn("payload", F.struct("order"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = replies.answered_recipients(people, spark.createDataFrame(heard, "contact_id long, at timestamp_ntz, reply_id long"))
+        assert {r["reply_id"]: r["payload"]["order"] for r in got.collect()} == want and len(want) < len(heard)
+        after = replies.recipients_after(people, got, "order")
+        assert after.filter("status = 'replied'").count() == len(want) and after.count() == len(sent)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
