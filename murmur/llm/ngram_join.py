@@ -375,3 +375,20 @@ def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM texts, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM grams GROUP BY doc_id),
+named AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY h) AS class_id FROM sets),
+firsts AS (SELECT doc_id, n, g FROM grams JOIN named USING (doc_id) WHERE doc_id = class_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared FROM firsts a JOIN firsts b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * shared >= 85 * (total - shared)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+parts AS (SELECT x AS class_id, least(x, min(y)) AS component_id FROM reach GROUP BY x),
+degrees AS (SELECT x AS class_id, count(*) AS n_links FROM edges GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(component_id, class_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM documents LEFT JOIN named USING (doc_id) LEFT JOIN parts USING (class_id) LEFT JOIN degrees USING (class_id)
+"""

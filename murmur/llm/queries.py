@@ -6,7 +6,7 @@ from murmur.llm.ann import op1_nearest_neighbours
 from murmur.llm.decontamination import OP11_SQL, op11_decontamination
 from murmur.llm.manifest import OP12_SQL, op12_merkle_manifest
 from murmur.llm.mixing import OP7_SQL, op7_mixing
-from murmur.llm.ngram_join import op2_ngram_join
+from murmur.llm.ngram_join import OP2_SQL, op2_ngram_join
 from murmur.llm.packing import op6_best_fit_packing
 from murmur.llm.pii import op10_pii_surrogates
 from murmur.llm.quality_rules import op9_quality_rules
@@ -33,6 +33,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
     "op7_mixing": OP7_SQL,
     "op11_decontamination": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
