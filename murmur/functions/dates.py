@@ -59,6 +59,12 @@ def since(then: Column, now: Column) -> Column:
     return F.coalesce(words, F.lit("never"))
 
 
+def day_label(day: Column, today: Column) -> Column:
+    """What a list of messages calls a day: Today, Yesterday, or the date in words."""
+    ago = F.datediff(today, day)
+    return F.when(ago == 0, "Today").when(ago == 1, "Yesterday").otherwise(F.date_format(day, "MMMM d, yyyy"))
+
+
 def duration(minutes: Column) -> Column:
     """Seconds below a minute, minutes below an hour, else hours with one decimal."""
     half_up = lambda x: F.floor(x + F.lit(0.5))

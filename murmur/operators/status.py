@@ -90,3 +90,11 @@ def outcomes(merged: DataFrame) -> DataFrame:
     sent, failed = F.count_if(F.col("status") == "sent"), F.count_if(F.col("status") == "failed")
     final = F.when((sent == 0) & (failed > 0), "failed").otherwise("sent")
     return merged.groupBy("broadcast_id").agg(F.count("*").alias("total"), sent.alias("n_sent"), failed.alias("n_failed"), final.alias("status"))
+
+
+def broadcasts_recounted(broadcasts: DataFrame, recipients: DataFrame) -> DataFrame:
+    """broadcasts with their counters as the recipients have them now; one without recipients has none of each."""
+    counts = broadcast_counts(recipients)
+    names = [f"{c}_count" for c in COUNTERS]
+    joined = broadcasts.drop(*names, "total").join(counts, "broadcast_id", "left")
+    return joined.fillna(0, ["total", *names])

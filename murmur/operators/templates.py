@@ -51,3 +51,24 @@ def draft_preview(body: Column, variables: Column) -> Column:
     """Placeholders replaced one after the other in the order of ``marks``, so what a value brings can be replaced again; unmapped ones stay."""
     value = lambda mark: F.coalesce(F.nullif(F.try_element_at(variables, F.regexp_extract(mark, r"\d+", 0)), F.lit("")), mark)
     return F.aggregate(marks(body), body, lambda text, mark: F.replace(text, mark, value(mark)))
+
+
+def broadcast_preview(body: Column, variables: Column, contact: Column, fields: Column) -> Column:
+    """A broadcast's text for one contact: placeholders replaced one after the other in the order of ``marks``.
+
+    variables maps a number to (type, value): a given value, a field of the contact (a map), where only null falls back, or a custom
+    field, where empty does too; without a value the placeholder stays. In a value ``$$`` is a dollar and ``$&`` the placeholder, as
+    the product's editor replaces; what a value brings can be replaced again.
+    """
+
+    def value(mark: Column) -> Column:
+        v = F.try_element_at(variables, F.regexp_extract(mark, r"\d+", 0))
+        name = F.nullif(v["value"], F.lit(""))
+        found = F.when(v["type"] == "static", name).when(v["type"] == "field", F.try_element_at(contact, name)).when(v["type"] == "custom_field", F.nullif(F.try_element_at(fields, name), F.lit("")))
+        return F.coalesce(found, mark)
+
+    def unfolded(text: Column, mark: Column) -> Column:
+        signs = F.transform(F.regexp_extract_all(text, F.lit(r"(\$[$&])"), F.lit(1)), lambda s: F.when(s == "$$", "$").otherwise(mark))
+        return F.array_join(F.zip_with(F.split(text, r"\$[$&]", -1), signs, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+
+    return F.aggregate(marks(body), body, lambda text, mark: F.replace(text, mark, unfolded(value(mark), mark)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import dates, numbers, text
-from murmur.operators import desk, inbound, replies, rules, status
+from murmur.operators import desk, inbound, messaging, replies, rules, status, templates
 from murmur.plans import changes as c
 from murmur.plans.queries import NOW, query
 from murmur.sources import views
@@ -201,3 +201,31 @@ def message_labels(spark, sf_dir: str) -> DataFrame:
         text.preview(F.when(i % 3 == 1, "image").otherwise("odd"), F.when(i % 3 == 0, F.col("props"))).alias("preview"), text.initials(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(" user  x"), user, F.lit(" y"))).otherwise(F.concat(F.lit("u"), user))).alias("initials"),
         text.slug(F.concat(F.lit("File ("), user, F.lit(")a_b!?"))).alias("slug"), text.csv_field(F.col("props")).alias("field"),
     )
+
+
+@query("SELECT id, day, day_group, CASE day WHEN DATE '2024-01-30' THEN 'Today' WHEN DATE '2024-01-29' THEN 'Yesterday' ELSE strftime(day, '%B %-d, %Y') END AS label FROM (SELECT id, created_at::DATE AS day, dense_rank() OVER (PARTITION BY conversation_id ORDER BY created_at::DATE) AS day_group FROM messages)", "messages")
+def day_labels(spark, sf_dir: str) -> DataFrame:
+    groups = messaging.day_groups(views.messages(spark, sf_dir))
+    return groups.select("id", "day", "day_group", dates.day_label(F.col("day"), F.lit("2024-01-30").cast("date")).alias("label"))
+
+
+@query("SELECT s_suppkey AS broadcast_id, s_name AS name, count(status) AS total, count(*) FILTER (status IN ('sent', 'delivered', 'read', 'replied')) AS sent_count, count(*) FILTER (status IN ('delivered', 'read', 'replied')) AS delivered_count, count(*) FILTER (status IN ('read', 'replied')) AS read_count, count(*) FILTER (status = 'replied') AS replied_count, count(*) FILTER (status = 'failed') AS failed_count FROM supplier LEFT JOIN (SELECT * FROM recipients WHERE broadcast_id % 7 <> 3) ON broadcast_id = s_suppkey GROUP BY 1, 2", "recipients")
+def broadcasts_recounted(spark, sf_dir: str) -> DataFrame:
+    b = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("broadcast_id"), F.col("s_name").alias("name"), F.lit(9).alias("sent_count"))
+    return status.broadcasts_recounted(b, views.recipients(spark, sf_dir).filter("broadcast_id % 7 != 3"))
+
+
+@query(
+    """SELECT id, replace(replace(replace('Hi {{1}}, {{2}} owes {{10}} or {{3}}', '{{1}}', CASE WHEN id % 4 = 0 THEN '{{1}}' ELSE name END), '{{10}}', CASE WHEN id % 3 = 0 THEN '$5 {{10}} {{2}}' ELSE '{{10}}' END), '{{2}}', CASE WHEN id % 2 = 0 THEN 'x{{3}}' ELSE company END) AS preview FROM contacts""",
+    "contacts",
+)
+def broadcast_previews(spark, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    pair = lambda t, v: F.struct(F.lit(t).alias("type"), v.alias("value"))
+    variables = F.map_from_arrays(
+        F.array(F.lit("1"), F.lit("2"), F.lit("10"), F.lit("3")),
+        F.array(pair("field", F.when(i % 4 == 0, "shoe").otherwise("name")), F.when(i % 2 == 0, pair("static", F.lit("x{{3}}"))).otherwise(pair("custom_field", F.lit("segment"))), pair("static", F.when(i % 3 == 0, "$$5 $& {{2}}").otherwise("")), pair("custom_field", F.lit("none"))),
+    )
+    rows = views.contacts(spark, sf_dir)
+    body = F.lit("Hi {{1}}, {{2}} owes {{10}} or {{3}}")
+    return rows.select(i, templates.broadcast_preview(body, variables, F.create_map(F.lit("name"), F.col("name")), F.create_map(F.lit("segment"), F.col("company"))).alias("preview"))
