@@ -22,18 +22,21 @@ def follow_pages(starts: DataFrame, pages: DataFrame, most: int = MOST, schema:
     b is the body by its schema. A list is truncated if a next page was named after the last one allowed, and broken if a named page was
     not there: what came before it is kept.
     """
-    bodies = pages.select("url", F.from_json("body", schema).alias("b"))
+    # bodies are parsed and written once; rounds see their links alone
+    bodies = cut(pages.select("url", F.from_json("body", schema).alias("b")).withColumn("row", F.monotonically_increasing_id()))
+    links = bodies.select("url", F.nullif("b.paging.next", F.lit("")).alias("next"), F.when(F.col("b").isNotNull(), F.col("row")).alias("row"))
     waiting = starts.select("list_id", "url").withColumn("page", F.lit(1))
     done = None
     for _ in range(most):
-        fetched = cut(waiting.join(bodies, "url", "left").select("list_id", "page", "url", "b", F.nullif("b.paging.next", F.lit("")).alias("next")))
+        fetched = cut(waiting.join(links, "url", "left").select("list_id", "page", "url", "row", "next"))
         done = fetched if done is None else done.unionByName(fetched)
         waiting = fetched.filter("next IS NOT NULL").select("list_id", F.col("next").alias("url"), (F.col("page") + 1).alias("page"))
         if waiting.isEmpty():
             break
-    last = F.max_by(F.struct("next", F.col("b").isNull().alias("lost")), "page")
-    lists = done.groupBy("list_id").agg(F.count_if(F.col("b").isNotNull()).alias("pages"), last.alias("l"))
-    return done.filter("b IS NOT NULL").select("list_id", "page", "url", "b"), lists.select("list_id", "pages", F.col("l.next").isNotNull().alias("truncated"), F.col("l.lost").alias("broken"))
+    last = F.max_by(F.struct("next", F.col("row").isNull().alias("lost")), "page")
+    lists = done.groupBy("list_id").agg(F.count("row").alias("pages"), last.alias("l"))
+    rows = done.filter("row IS NOT NULL").join(bodies.select("row", "b"), "row").select("list_id", "page", "url", "b")
+    return rows, lists.select("list_id", "pages", F.col("l.next").isNotNull().alias("truncated"), F.col("l.lost").alias("broken"))
 
 
 def only_keys(rows: DataFrame, column: str, keys: DataFrame | None = None, value=None) -> DataFrame:

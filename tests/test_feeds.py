@@ -208,3 +208,19 @@ def test_a_feed_of_one_key(spark, tmp_path):
     assert rows_of(got, ["k", "id"]) == rows_of(rows.filter("k = 2"), ["k", "id"])
     keys = spark.createDataFrame([(1,), (3,), (3,)], "key long")
     assert only_keys(rows, "k", keys).count() == 20
+
+
+def test_pages_are_parsed_once(spark):
+    """A page is read once, however many rounds follow the lists: each reading would draw other items."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 6
+    pages = spark.createDataFrame([(f"u{i}", f'{{"data": ["{i}"], "paging": {{"next": "{"u" + str(i + 1) if i < n - 1 else ""}"}}}}') for i in range(n)], "url string, body string")
+    rows, lists = follow_pages(spark.createDataFrame([(1, "u0")], "list_id int, url string"), pages.mapInArrow(counted, pages.schema))
+    assert [r["b"]["data"] for r in rows.orderBy("page").collect()] == [[str(i)] for i in range(n)] and tuple(lists.first()) == (1, n, False, False)
+    assert read.value == n
