@@ -20,16 +20,19 @@ def rooted(steps: DataFrame, opens: Column | None = None) -> DataFrame:
     One join a level, each level checkpointed; a cycle hangs on no root, so the loop ends.
     """
     part = F.concat(F.lit("steps["), F.col("position").cast("string"), F.lit("]"))
-    level = cut(steps.filter("parent_id = -1").withColumns({"path": part, "depth": F.lit(0)}))
+    # the steps are computed and written once; levels see their links alone
+    steps = cut(steps.withColumn("__row", F.monotonically_increasing_id()))
+    links = steps.select("__row", *SCOPE, "id", "position", (F.lit(True) if opens is None else F.coalesce(opens, F.lit(False))).alias("__opens"))
+    nested = links.filter("parent_id != -1")
+    level = cut(links.filter("parent_id = -1").withColumns({"path": part, "depth": F.lit(0)}))
     out, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        above = level if opens is None else level.filter(opens)
-        above = above.select("automation_id", F.col("id").alias("parent_id"), F.col("path").alias("__above"))
-        below = steps.filter("parent_id != -1").join(above, ["automation_id", "parent_id"])
+        above = level.filter("__opens").select("automation_id", F.col("id").alias("parent_id"), F.col("path").alias("__above"))
+        below = nested.join(above, ["automation_id", "parent_id"])
         level = cut(below.withColumns({"path": F.concat("__above", F.lit("."), "branch", F.lit("."), part), "depth": F.lit(depth)}).drop("__above"))
         out = out.unionByName(level)
-    return out
+    return steps.join(out.select("__row", "path", "depth"), "__row").drop("__row")
 
 
 def seeds_to_steps(seeds: DataFrame) -> DataFrame:
