@@ -94,6 +94,9 @@ def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None
     """
     steps = steps.withColumns({c: F.expr(x) for c, x in OPTIONAL.items() if c not in steps.columns})
     steps = steps.select(*STEP, *OPTIONAL)
+    nested = steps.filter("parent_id != -1")
+    # parked runs may go on at any depth
+    level = steps.filter("parent_id = -1") if parked is None else steps
     runs = _prepared(runs, contacts, contact_tags, conversations)
     if parked is None:
         scopes = runs.withColumns({"parent_id": F.lit(-1).cast("long"), "branch": F.lit(""), "next_position": F.lit(0), "way": F.array().cast("array<int>"), "above": F.array().cast("array<bigint>")})
@@ -108,10 +111,12 @@ def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None
     stop = F.min(F.when(F.col("status").isin("failed", "partial"), F.col("position"))).over(Window.partitionBy("event_id", "automation_id", "parent_id", "branch"))
     done = None
     while True:
-        rows = scopes.join(steps, ["automation_id", "parent_id", "branch"]).filter(F.col("position") >= F.col("next_position")).drop("next_position")
+        rows = scopes.join(level, ["automation_id", "parent_id", "branch"]).filter(F.col("position") >= F.col("next_position")).drop("next_position")
         rows = rows.withColumns({"body": body, "params": F.when(F.col("kind") == "send_template", ordered_values(F.col("variables"))), "run_at": F.when(F.col("kind") == "wait", later), "chosen": F.when(F.col("kind") == "condition", _decision()), "place": F.concat("way", F.array(F.col("position").cast("int")))})
         rows = rows.withColumn("status", _status(conversations is not None)).withColumn("stop", stop)
-        rows = cut(rows.filter(F.col("stop").isNull() | (F.col("position") <= F.col("stop"))).drop("stop"))
+        rows = rows.filter(F.col("stop").isNull() | (F.col("position") <= F.col("stop"))).drop("stop")
+        # what only conditions and the levels below them read is written with them alone
+        rows = cut(rows.withColumns({c: F.when(F.col("kind") == "condition", F.col(c)) for c in ("fields", "tags")}))
         done = rows if done is None else done.unionByName(rows)
         opened, round_again = rows.agg(F.count_if(F.col("kind") == "condition"), F.count_if(F.array_contains("above", F.col("id")))).first()
         if round_again:
@@ -119,7 +124,7 @@ def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None
         if not opened:
             return done
         below = {"parent_id": F.col("id"), "branch": F.col("chosen"), "next_position": F.lit(0), "way": F.col("place"), "above": F.concat("above", F.array("id"))}
-        scopes = rows.filter("kind = 'condition'").select(*RUN, "fields", "tags", *[c.alias(n) for n, c in below.items()])
+        level, scopes = nested, rows.filter("kind = 'condition'").select(*RUN, "fields", "tags", *[c.alias(n) for n, c in below.items()])
 
 
 def outbox(executed: DataFrame) -> DataFrame:

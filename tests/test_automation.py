@@ -371,3 +371,28 @@ def test_replies_equal_a_stack(spark, parts):
         assert after.filter("status = 'replied'").count() == len(want) and after.count() == len(sent)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_steps_are_computed_once_for_all_levels(spark):
+    """Paths look a level at a time at steps that were computed once; only conditions of runs are written with tags of the contact."""
+    from murmur.operators import runs as run_operators
+    from murmur.operators.trees import rooted
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 5
+    names = "id long, automation_id long, parent_id long, branch string, position int, kind string, text_of_step string, tag string, amount long, unit string, field string, stage string"
+    steps = spark.createDataFrame([(i, 1, i - 1 if i else -1, "yes" if i else "", 0, "condition", None, None, None, None, None, None) for i in range(n)], names)
+    paths = rooted(steps.mapInArrow(counted, steps.schema))
+    assert [r["path"] for r in paths.orderBy("depth").collect()] == ["steps[0]" + ".yes.steps[0]" * i for i in range(n)]
+    assert read.value == n
+    one = spark.createDataFrame([(7, 1, 3)], "event_id long, automation_id long, user_id long").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS at", "'x' AS text", "'t' AS trigger")
+    tags = spark.createDataFrame([(3, "gold")], "contact_id long, tag string")
+    done = run_operators.execute(one, steps.union(steps.filter("id = 4").selectExpr("9L", "automation_id", "parent_id", "branch", "1", "'close_conversation'", *steps.columns[6:])), contact_tags=tags)
+    rows = {r["id"]: r for r in done.collect()}
+    assert sorted(rows) == [*range(n), 9] and rows[4]["tags"] == ["gold"] and rows[9]["tags"] is None
