@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -76,6 +77,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark, records: int = 1000):
+    """What is computed inside hands texts to Python in Arrow batches of so many rows: Spark and the worker hold a whole one each, and Spark's usual one has ten times as many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(records, int(before)) if int(before) > 0 else records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Slots of the bitmap that ``possible_members`` broadcasts: 8 MB, whatever the number of members.
 SLOTS = 1 << 26
 

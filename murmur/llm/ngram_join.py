@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from murmur.llm.common import WordHashes, checkpoint, mix64, ngram_hashes, possible_members
+from murmur.llm.common import WordHashes, checkpoint, mix64, ngram_hashes, possible_members, small_batches
 from murmur.llm.components import connected_components
 
 #: A digest of more classes than this ties all of them to one instead of pairing them.
@@ -312,17 +312,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     links, n_links the number of other sets linked with this one.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = checkpoint(_meetings(plain.mapInArrow(_incidence(n, percent), "key long, class long, doc_id long, size int")))
+    with small_batches(docs.sparkSession):
+        met = checkpoint(_meetings(plain.mapInArrow(_incidence(n, percent), "key long, class long, doc_id long, size int")))
     rows = met.filter("size IS NOT NULL").select("doc_id", "class", "size")
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.max("size").alias("size"))
     clusters = connected_components(_candidates(met))
-    chosen = _products(clusters.select(F.col("vertex").alias("class"), F.col("label").alias("cluster")).join(classes.select("class", "size"), "class"), percent)
+    members = clusters.select(F.col("vertex").alias("class"), F.col("label").alias("cluster")).join(classes.select("class", "size"), "class")
+    chosen = _products(_able(checkpoint(members), plain, classes, n, percent), percent)
 
-    first = classes.join(chosen.select("class").distinct(), "class", "left_semi").filter("class_id IS NOT NULL")
-    read = possible_members(plain, F.col("doc_id"), F.col("class_id"), first).filter(F.col("__possible") | F.col("doc_id").isNull())
-    hashed = _sets(n, read.select("text"))
+    hashed = _sets(n, _texts(plain, classes, chosen.select("class").distinct()))
     found = hashed.join(chosen, "class").select("task", "cluster", "low", "high", "class", "block", "grams").groupBy("task").applyInArrow(_linked(percent), "cluster long, class long, root long, links long")
-    found = checkpoint(found)
+    with small_batches(docs.sparkSession):
+        found = checkpoint(found)
     # low is null in a cluster of one block, whose roots are final
     several = chosen.filter("low IS NOT NULL").select("cluster").distinct()
     edges = found.join(several, "cluster", "left_semi").select(F.col("class").alias("a"), F.col("root").alias("b"))
@@ -335,8 +336,35 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return rows.join(named, "class", "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _sets(n: int, texts: DataFrame) -> DataFrame:
-    """(text) -> (class, grams); a task sends a class once, unless it has seen very many others since."""
+def _texts(plain: DataFrame, classes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One text of each chosen class, and few others that a bitmap of fixed size lets through."""
+    first = classes.join(chosen, "class", "left_semi").filter("class_id IS NOT NULL")
+    return possible_members(plain, F.col("doc_id"), F.col("class_id"), first).filter(F.col("__possible") | F.col("doc_id").isNull()).select("text")
+
+
+def _able(members: DataFrame, plain: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(class, cluster, size) without the classes of large clusters that can't link with any other.
+
+    A passage that many texts share ties them to one cluster, which grows with the table, and a class is sent once for each of its
+    cluster's row blocks. A link needs percent of a set's n-grams in common, so a class with more n-grams of its own than
+    the rest takes no part. Sums by n-gram and by class alone, so no n-gram gathers its texts in one task.
+    """
+    weight = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("size") / BLOCK_NGRAMS)
+    large = members.join(members.groupBy("cluster").agg(F.sum(weight).alias("total")).filter("total > 1").select("cluster"), "cluster", "left_semi")
+    large = checkpoint(large)
+    if large.isEmpty():
+        return members
+    with small_batches(members.sparkSession):
+        grams = _sets(n, _texts(plain, classes, large.select("class")), each=True)
+        # a class may come twice
+        own = grams.groupBy("gram").agg(F.min("class").alias("class"), F.max("class").alias("last")).filter(F.col("class") == F.col("last"))
+        own = checkpoint(own.groupBy("class").agg(F.count(F.lit(1)).alias("own")))
+    unable = large.join(own, "class").filter(F.col("own") * 100 > F.col("size") * (100 - percent))
+    return checkpoint(members.join(unable.select("class"), "class", "left_anti"))
+
+
+def _sets(n: int, texts: DataFrame, each: bool = False) -> DataFrame:
+    """(text) -> (class, grams), or with each a row (class, gram) for every n-gram; a task sends a class once, unless it has seen very many others since."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = WordHashes(), set()
@@ -351,10 +379,15 @@ def _sets(n: int, texts: DataFrame) -> DataFrame:
                     done.clear()
                 done.add(name)
                 classes.append(name)
-                found.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(found, pa.binary())], names=["class", "grams"])
-
-    return texts.mapInArrow(sets, "class long, grams binary")
+                found.append(grams if each else grams.tobytes())
+            if each:
+                flat = np.concatenate(found) if found else np.empty(0, np.uint64)
+                owner = np.repeat(np.array(classes, np.int64), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat.view(np.int64))], names=["class", "gram"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(found, pa.binary())], names=["class", "grams"])
+
+    return texts.mapInArrow(sets, "class long, gram long" if each else "class long, grams binary")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -279,3 +279,20 @@ def test_passages_edges(edge, edge_rows, empty):
             assert r["text"] == source["text"]
     assert next(r for r in out if r["doc_id"] == 10)["text"].endswith("more")
     assert repeated_passages(empty).count() == 0 and without_repeats(empty).count() == 0
+
+
+def test_texts_of_one_passage_leave_a_large_cluster(spark, monkeypatch):
+    """Texts that share a passage and have words of their own are in no product of a large cluster; what links stays."""
+    from murmur.llm import ngram_join
+
+    passage = " ".join(f"shared{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"own{i}x{j}" for j in range(60)) for i in range(120)]
+    texts += [t + " tail" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    given = []
+    products = ngram_join._products
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(ngram_join, "_products", lambda members, percent: given.append(members.count()) or products(members, percent))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_jaccard_join(docs).collect()}
+    assert got == {i: (i - 120 if i >= 120 else i, int(i >= 120 or i < 5)) for i in range(125)}
+    assert given == [10]
