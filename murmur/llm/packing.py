@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.common import checkpoint
+from murmur.llm.common import checkpoint, small_batches
 from murmur.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -110,7 +110,8 @@ def _packed(capacity: int, chunk: int):
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, chunk: int = CHUNK) -> DataFrame:
     """PIECE rows -> the same with sequence_id and offset. Reads its input once."""
-    pieces = checkpoint(pieces.withColumn("item", F.monotonically_increasing_id()))
+    with small_batches(pieces.sparkSession):
+        pieces = checkpoint(pieces.withColumn("item", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("length") == capacity).select("*", (F.col("item") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity).select(F.col("length").cast("int").alias("fill"), F.array("item").alias("items"), F.array(F.col("length").cast("int")).alias("lengths"))
     before = rest.count()

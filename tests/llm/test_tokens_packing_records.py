@@ -119,3 +119,15 @@ def test_rounds_merge_what_is_left(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(4000))
     assert all(sum(n for _, n in p) <= 1024 for p in places.values())
     assert len(places) <= 1.02 * len(best_fit(sizes))
+
+
+def test_texts_come_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            assert batch.num_rows <= 1000
+            yield batch
+
+    pieces = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "id % 9 + 1 AS length", "0L AS ids_crc32")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pack_pieces(pieces.mapInArrow(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long")).count() == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
