@@ -19,6 +19,17 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+#: Rows that a task is meant to sort; more rows make more partitions than the usual number.
+TASK_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """rows dealt by keys to so many partitions that a task's memory does not grow with n_rows, what the tables of a join or window have."""
+    parts = -(-n_rows // TASK_ROWS)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys) if parts > usual else rows
+
+
 def placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """rows with ordinal: their place from 0 within their group, in the order given.
 

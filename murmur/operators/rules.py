@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.operators.lineage import dealt
+
 
 def keyword_matches(text: Column, keywords: list[str], exact: bool = False, case_sensitive: bool = False) -> Column:
     """No keywords, or no text: no match."""
@@ -30,13 +32,15 @@ def rule_matches(text: Column, keywords: Column, match_type: Column, case_sensit
 def tree_paths(steps: DataFrame, depth: int) -> DataFrame:
     """(id, automation_id, parent_id, branch, position, ...) -> the same with path and depth of every step that hangs on a root (parent_id -1).
 
-    One join a level; orphans are left out.
+    One join a level, dealt by the number of steps; orphans are left out.
     """
+    n = steps.count()
+    nested = dealt(steps.filter("parent_id != -1"), n, "automation_id", "parent_id")
     level = steps.filter("parent_id = -1").withColumns({"path": F.concat(F.lit("steps["), F.col("position").cast("string"), F.lit("]")), "depth": F.lit(0)})
     out = level
     for i in range(1, depth):
         above = level.select("automation_id", F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = steps.join(above, ["automation_id", "parent_id"]).withColumns({"path": F.concat("above", F.lit("."), "branch", F.lit(".steps["), F.col("position").cast("string"), F.lit("]")), "depth": F.lit(i)}).drop("above")
+        level = nested.join(dealt(above, n, "automation_id", "parent_id"), ["automation_id", "parent_id"]).withColumns({"path": F.concat("above", F.lit("."), "branch", F.lit(".steps["), F.col("position").cast("string"), F.lit("]")), "depth": F.lit(i)}).drop("above")
         out = out.unionByName(level)
     return out
 

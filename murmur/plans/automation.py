@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from murmur.functions.text import ordered_values
 from murmur.operators import effects, runs
+from murmur.operators.lineage import dealt
 from murmur.plans.queries import query
 from murmur.sources import views
 
@@ -61,7 +62,8 @@ def _variables(key: Column) -> Column:
 def _steps(spark, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = views.table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(by) - 1)
+    o = views.table(spark, sf_dir, "orders")
+    o = dealt(o, o.count(), "o_custkey").withColumn("r", F.row_number().over(by) - 1)
     back = lambda i: F.lag("o_orderkey", i).over(by)
     r = F.col("r")
     parent = F.when((r >= 12) | (r < 2), None).when(r % 2 == 0, back(2)).when(r % 4 == 3, back(1)).otherwise(back(3))

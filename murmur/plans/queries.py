@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from murmur.functions import dates, numbers, phone, security, text
 from murmur.operators import audience, contacts, deals, messaging, rules, runs, status
+from murmur.operators.lineage import dealt
 from murmur.sources import views
 from murmur.sources.webhook import explode_webhook
 from murmur.sources.views import with_views
@@ -516,7 +517,8 @@ def _automations(spark, sf_dir: str) -> DataFrame:
 
 def _steps(spark, sf_dir: str) -> DataFrame:
     key, first = F.col("o_orderkey"), F.col("first")
-    o = views.table(spark, sf_dir, "orders").withColumn("first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
+    o = views.table(spark, sf_dir, "orders")
+    o = dealt(o, o.count(), "o_custkey").withColumn("first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
     below = (key % 3 == 0) & (first % 2 == 0) & (key != first)
     root = (key == first) & (first % 2 == 0)
     o = o.select(
