@@ -29,9 +29,13 @@ def render(body: Column, params: Column, keep_blank: bool = True) -> Column:
     return F.array_join(F.zip_with(F.split(body, pattern, -1), F.transform(marks, filled), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
 
+#: What ``interpolate`` fills.
+PLACEHOLDER = r"\{\{\s*([\w.]+)\s*\}\}"
+
+
 def interpolate(body: Column, message: Column, variables: Column) -> Column:
     """``{{ message.text }}`` and ``{{vars.x}}``; every other name of word characters and dots becomes empty, other braces stay."""
-    pattern = r"\{\{\s*([\w.]+)\s*\}\}"
+    pattern = PLACEHOLDER
     names = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
 
     def value(name: Column) -> Column:

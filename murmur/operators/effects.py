@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from murmur.operators.runs import WRITABLE
 
 ORDER = ("at", "event_id", "automation_id", "place")
+#: What all merges read of executed steps, besides what ``runs.execute`` always keeps.
+WRITE = ("at", "user_id", "contact_id", "status")
 
 
 def writes(executed: DataFrame, *kinds: str) -> DataFrame:

@@ -5,17 +5,22 @@ runs at one depth of the trees are one join, so the driver's loop is over depth,
 has a scope open. Each depth is checkpointed, so none is computed again for the one below it. A scope stops at its first
 step that fails or waits; a condition opens the scope of the branch it decides for, and its own scope goes on.
 
+Where a scope stops is known from its steps, but for what the run lacks and for messages that may come out blank. So each
+step is marked once with the last step before it that stops all runs, those without a contact and those without a conversation,
+and with the messages before it that may be blank; a run's joined rows need not be gathered and sorted by scope.
+
 Conditions see contacts and tags as they were before the batch; what the runs change comes out as writes in a total
 order (``effects``). The order within a run is the place of a step: the positions on the way to it from the root.
 """
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmur.functions.dates import wait_ms, within_window
-from murmur.functions.text import interpolate, ordered_values
-from murmur.operators.lineage import cut
+from murmur.functions.text import PLACEHOLDER, interpolate, ordered_values
+from murmur.operators.lineage import cut, dealt
 from murmur.operators.rules import rule_matches
 
 # The fields of a contact that a step may set.
@@ -29,6 +34,11 @@ CARRIED = ("contact_id", "conversation_id", "vars")
 #: Steps that need a contact, and those that write into its conversation.
 OF_CONTACT = ("send_message", "send_template", "add_tag", "remove_tag", "assign_conversation", "update_contact_field", "close_conversation")
 SENDING = ("send_message", "send_template")
+SCOPE = ("automation_id", "parent_id", "branch")
+#: What the levels of the trees need of their rows.
+ALWAYS = ("event_id", "automation_id", "id", "kind", "chosen", "place", "above")
+#: What ``parked`` reads of them besides.
+OF_PARKED = ("parent_id", "branch", "position", "status", "run_at", "way")
 
 
 def dispatch(events: DataFrame, automations: DataFrame) -> DataFrame:
@@ -48,17 +58,49 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+def _unset(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) == ""
+
+
 def _status(talks_known: bool) -> Column:
-    kind, unset = F.col("kind"), lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    kind = F.col("kind")
     failed = kind.isin(*OF_CONTACT) & F.col("contact_id").isNull()
-    failed |= ((kind == "send_message") & _blank(F.col("body"))) | ((kind == "send_template") & unset("template"))
-    failed |= (kind.isin("add_tag", "remove_tag") & unset("tag")) | ((kind == "create_deal") & unset("stage")) | ((kind == "send_webhook") & unset("url"))
+    failed |= ((kind == "send_message") & _blank(F.col("body"))) | _lacking()
     if talks_known:
         failed |= kind.isin(*SENDING) & F.col("conversation_id").isNull()
     skipped = (kind == "update_contact_field") & ~F.coalesce(F.col("field").isin(*WRITABLE), F.lit(False))
     return F.when(failed, "failed").when(kind == "wait", "partial").when(skipped, "skipped").otherwise("success")
 
 
+def _lacking() -> Column:
+    """Steps that fail in every run, as they lack what their kind needs."""
+    kind = F.col("kind")
+    return ((kind == "send_template") & _unset("template")) | (kind.isin("add_tag", "remove_tag") & _unset("tag")) | ((kind == "create_deal") & _unset("stage")) | ((kind == "send_webhook") & _unset("url"))
+
+
+def _marked(steps: DataFrame) -> DataFrame:
+    """steps with the last position before theirs, in their scope, where every run stops, where runs without a contact or without a conversation do, and the messages (position, text) before it that may come out blank."""
+    kind = F.col("kind")
+    # a message is blank in every run if nothing of it is left to fill, and in none if it has letters outside of its placeholders
+    bare = _blank(F.regexp_replace("text_of_step", PLACEHOLDER, ""))
+    filled = F.col("text_of_step").rlike(PLACEHOLDER)
+    always = F.coalesce(kind == "wait", F.lit(False)) | F.coalesce(_lacking(), F.lit(False)) | F.coalesce((kind == "send_message") & _blank(F.col("text_of_step")), F.lit(False))
+    before = Window.partitionBy(*SCOPE).orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    last = lambda met: F.max(F.when(met, F.col("position"))).over(before)
+    unsure = F.when((kind == "send_message") & filled & bare, F.struct("position", "text_of_step"))
+    return steps.withColumns({"__all": last(always), "__contact": last(kind.isin(*OF_CONTACT)), "__talk": last(kind.isin(*SENDING)), "__unsure": F.collect_list(unsure).over(before)}).withColumn("__unsure", F.when(F.size("__unsure") > 0, F.col("__unsure")))
+
+
+def _reached(talks_known: bool) -> Column:
+    """Whether a run comes to a step from where it goes on: none of the stops that are marked lies between."""
+    clear = lambda mark: F.coalesce(F.col(mark) < F.col("next_position"), F.lit(True))
+    met = (F.col("position") >= F.col("next_position")) & clear("__all") & (F.col("contact_id").isNotNull() | clear("__contact"))
+    if talks_known:
+        met &= F.col("conversation_id").isNotNull() | clear("__talk")
+    blank = F.exists("__unsure", lambda m: (m["position"] >= F.col("next_position")) & _blank(interpolate(m["text_of_step"], F.col("text"), F.col("vars"))))
+    return met & (F.col("__unsure").isNull() | ~F.coalesce(blank, F.lit(False)))
+
+
 def _decision() -> Column:
     """Whether a condition holds: a tag or a field of the contact, the text of the message, or the time of day."""
     subject, operand = F.col("subject"), F.col("operand")
@@ -86,20 +128,29 @@ def _prepared(runs: DataFrame, contacts: DataFrame | None, contact_tags: DataFra
     return runs.withColumns({c: x for c, x in empty.items() if c not in runs.columns})
 
 
-def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None, contact_tags: DataFrame | None = None, conversations: DataFrame | None = None, parked: DataFrame | None = None) -> DataFrame:
+def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None, contact_tags: DataFrame | None = None, conversations: DataFrame | None = None, parked: DataFrame | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """runs of ``dispatch`` and a table of steps (STEP, OPTIONAL) -> one row a step that was run: RUN, the step, place, body, params, run_at, status, chosen.
 
     chosen is the branch that a condition opened, params are those of a template. With rows of ``parked``, their runs go on in
     the parked scope from next_position, at their run_at, and nothing else runs. Steps that form a cycle raise ValueError.
+    With keep, rows have these columns and ALWAYS; each level is written, so what nobody reads need not be.
     """
     steps = steps.withColumns({c: F.expr(x) for c, x in OPTIONAL.items() if c not in steps.columns})
-    steps = steps.select(*STEP, *OPTIONAL)
-    nested = steps.filter("parent_id != -1")
-    # parked runs may go on at any depth
-    level = steps.filter("parent_id = -1") if parked is None else steps
+    n_steps, n_runs = steps.count(), runs.count()
+    # all levels join the same steps: dealt and marked once, and kept by the executors until the last level is written
+    marked = _marked(dealt(steps.select(*STEP, *OPTIONAL), n_steps + n_runs, *SCOPE)).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _levels(marked, n_steps, n_runs, runs, contacts, contact_tags, conversations, parked, keep)
+    finally:
+        marked.unpersist()
+
+
+def _levels(steps: DataFrame, n_steps: int, n_runs: int, runs: DataFrame, contacts: DataFrame | None, contact_tags: DataFrame | None, conversations: DataFrame | None, parked: DataFrame | None, keep: tuple[str, ...] | None) -> DataFrame:
     runs = _prepared(runs, contacts, contact_tags, conversations)
     if parked is None:
-        scopes = runs.withColumns({"parent_id": F.lit(-1).cast("long"), "branch": F.lit(""), "next_position": F.lit(0), "way": F.array().cast("array<int>"), "above": F.array().cast("array<bigint>")})
+        # plain constants would be folded out of the join's keys, and all steps would be dealt anew
+        never = F.length(F.col("automation_id").cast("string")) < 0
+        scopes = runs.withColumns({"parent_id": F.when(never, 0).otherwise(-1).cast("long"), "branch": F.when(never, "-").otherwise(""), "next_position": F.lit(0), "way": F.array().cast("array<int>"), "above": F.array().cast("array<bigint>")})
     else:
         at = [F.col("run_at").alias("at")] if "run_at" in parked.columns else []
         waiting = parked.select("event_id", "automation_id", "parent_id", "branch", "next_position", *at, *[F.col(c) if c in parked.columns else F.array().cast(t).alias(c) for c, t in (("way", "array<int>"), ("above", "array<bigint>"))])
@@ -108,23 +159,25 @@ def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None
     text = F.when(F.col("kind").isin("send_message", "create_deal"), interpolate(F.col("text_of_step"), F.col("text"), F.col("vars")))
     body = text.when(F.col("kind") == "send_webhook", F.to_json(F.struct("event_id", "automation_id", F.col("text").alias("message"))))
     later = F.timestamp_add("MILLISECOND", wait_ms(F.col("amount"), F.col("unit")), F.col("at"))
-    stop = F.min(F.when(F.col("status").isin("failed", "partial"), F.col("position"))).over(Window.partitionBy("event_id", "automation_id", "parent_id", "branch"))
-    done = None
+    made = {"body": body, "params": F.when(F.col("kind") == "send_template", ordered_values(F.col("variables"))), "run_at": F.when(F.col("kind") == "wait", later), "chosen": F.when(F.col("kind") == "condition", _decision()), "place": F.concat("way", F.array(F.col("position").cast("int")))}
+    names = [*[c for c in scopes.columns if c not in ("next_position", "fields", "tags")], *[c for c in steps.columns if c not in scopes.columns and not c.startswith("__")], "fields", "tags", *made, "status"]
+    kept = set(names) - {"fields", "tags"} if keep is None else {*ALWAYS, *keep}
+    below = ("user_id", "contact_id", "conversation_id", "at", "text", "vars", "trigger", "fields", "tags")
+    done, n_open = None, n_runs
     while True:
-        rows = scopes.join(level, ["automation_id", "parent_id", "branch"]).filter(F.col("position") >= F.col("next_position")).drop("next_position")
-        rows = rows.withColumns({"body": body, "params": F.when(F.col("kind") == "send_template", ordered_values(F.col("variables"))), "run_at": F.when(F.col("kind") == "wait", later), "chosen": F.when(F.col("kind") == "condition", _decision()), "place": F.concat("way", F.array(F.col("position").cast("int")))})
-        rows = rows.withColumn("status", _status(conversations is not None)).withColumn("stop", stop)
-        rows = rows.filter(F.col("stop").isNull() | (F.col("position") <= F.col("stop"))).drop("stop")
-        # what only conditions and the levels below them read is written with them alone
-        rows = cut(rows.withColumns({c: F.when(F.col("kind") == "condition", F.col(c)) for c in ("fields", "tags")}))
+        # runs and steps are dealt alike, so that the steps stay where they are
+        rows = dealt(scopes, max(n_open, n_runs) + n_steps, *SCOPE).join(steps, list(SCOPE)).filter(_reached(conversations is not None))
+        rows = rows.withColumns(made).withColumn("status", _status(conversations is not None))
+        # what only the levels below a condition read is written with conditions alone
+        rows = cut(rows.select(*[F.col(c) if c in kept else F.when(F.col("kind") == "condition", F.col(c)).alias(c) for c in names if c in kept or c in below]))
         done = rows if done is None else done.unionByName(rows)
-        opened, round_again = rows.agg(F.count_if(F.col("kind") == "condition"), F.count_if(F.array_contains("above", F.col("id")))).first()
+        n_open, round_again = rows.agg(F.count_if(F.col("kind") == "condition"), F.count_if(F.array_contains("above", F.col("id")))).first()
         if round_again:
             raise ValueError("the steps of a rule form a cycle")
-        if not opened:
-            return done
-        below = {"parent_id": F.col("id"), "branch": F.col("chosen"), "next_position": F.lit(0), "way": F.col("place"), "above": F.concat("above", F.array("id"))}
-        level, scopes = nested, rows.filter("kind = 'condition'").select(*RUN, "fields", "tags", *[c.alias(n) for n, c in below.items()])
+        if not n_open:
+            return done if keep is None else done.select(*[c for c in names if c in kept])
+        opens = {"parent_id": F.col("id"), "branch": F.col("chosen"), "next_position": F.lit(0), "way": F.col("place"), "above": F.concat("above", F.array("id"))}
+        scopes = rows.filter("kind = 'condition'").select(*RUN, "fields", "tags", *[c.alias(n) for n, c in opens.items()])
 
 
 def outbox(executed: DataFrame) -> DataFrame:

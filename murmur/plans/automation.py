@@ -89,8 +89,8 @@ def _runs(spark, sf_dir: str) -> DataFrame:
     return runs.dispatch(e, _automations(spark, sf_dir))
 
 
-def _executed(spark, sf_dir: str) -> DataFrame:
-    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir), _contacts(spark, sf_dir), views.contact_tags(spark, sf_dir), _conversations(spark, sf_dir))
+def _executed(spark, sf_dir: str, *keep: str) -> DataFrame:
+    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir), _contacts(spark, sf_dir), views.contact_tags(spark, sf_dir), _conversations(spark, sf_dir), keep=keep)
 
 
 def _list(values: tuple[str, ...], at: str) -> str:
@@ -135,7 +135,7 @@ _ORDER = '("at", event_id, automation_id, place)'
 @query(f"{_SQL} SELECT event_id, id AS step_id, kind, array_to_string(place, '.') AS place, status, chosen, body FROM executed")
 def deep_step_log(spark, sf_dir: str) -> DataFrame:
     """Every step that ran, in trees of seven levels; all four kinds of conditions decide branches."""
-    return _executed(spark, sf_dir).select("event_id", F.col("id").alias("step_id"), "kind", F.array_join("place", ".").alias("place"), "status", "chosen", "body")
+    return _executed(spark, sf_dir, "status", "body").select("event_id", F.col("id").alias("step_id"), "kind", F.array_join("place", ".").alias("place"), "status", "chosen", "body")
 
 
 @query(
@@ -144,7 +144,7 @@ def deep_step_log(spark, sf_dir: str) -> DataFrame:
     SELECT event_id, automation_id, coalesce(status, 'success') AS status, coalesce(n_steps, 0) AS n_steps, coalesce(steps, '') AS steps FROM runs LEFT JOIN logged USING (event_id, automation_id)"""
 )
 def automation_logs(spark, sf_dir: str) -> DataFrame:
-    return runs.automation_logs(_runs(spark, sf_dir), _executed(spark, sf_dir))
+    return runs.automation_logs(_runs(spark, sf_dir), _executed(spark, sf_dir, "parent_id", "way", "position", "status"))
 
 
 _PARAMS = "CASE WHEN {0} % 7 <> 0 THEN array_to_string([CASE WHEN {0} % 2 = 0 THEN 'one' ELSE '' END, 'two', priority, {0}::VARCHAR, 'N'], '|') ELSE '' END"
@@ -152,7 +152,7 @@ _PARAMS = "CASE WHEN {0} % 7 <> 0 THEN array_to_string([CASE WHEN {0} % 2 = 0 TH
 
 @query(f"{_SQL} SELECT event_id, id AS step_id, conversation_id, 't' || id % 6 AS template, {_PARAMS.format('id')} AS params FROM executed WHERE kind = 'send_template' AND status = 'success'")
 def template_outbox(spark, sf_dir: str) -> DataFrame:
-    return runs.template_outbox(_executed(spark, sf_dir)).withColumn("params", F.array_join("params", "|"))
+    return runs.template_outbox(_executed(spark, sf_dir, "conversation_id", "template", "params", "status")).withColumn("params", F.array_join("params", "|"))
 
 
 @query(
@@ -172,7 +172,7 @@ def template_params(spark, sf_dir: str) -> DataFrame:
     SELECT contact_id, tag FROM contact_tags FULL JOIN last USING (contact_id, tag) WHERE kind IS NULL OR kind = 'add_tag'"""
 )
 def tags_after_runs(spark, sf_dir: str) -> DataFrame:
-    return effects.tags_after(_executed(spark, sf_dir), views.contact_tags(spark, sf_dir))
+    return effects.tags_after(_executed(spark, sf_dir, *effects.WRITE, "tag"), views.contact_tags(spark, sf_dir))
 
 
 @query(
@@ -181,13 +181,13 @@ def tags_after_runs(spark, sf_dir: str) -> DataFrame:
     SELECT id, CASE WHEN n IS NULL THEN name ELSE n.x END AS name, CASE WHEN e IS NULL THEN email ELSE e.x END AS email, CASE WHEN c IS NULL THEN company ELSE c.x END AS company, updated_at FROM contacts LEFT JOIN set_ USING (id)"""
 )
 def contacts_after_runs(spark, sf_dir: str) -> DataFrame:
-    return effects.contacts_after(_executed(spark, sf_dir), _contacts(spark, sf_dir)).select("id", "name", "email", "company", "updated_at")
+    return effects.contacts_after(_executed(spark, sf_dir, *effects.WRITE, "field", "value"), _contacts(spark, sf_dir)).select("id", "name", "email", "company", "updated_at")
 
 
 @query(f"""{_SQL} SELECT event_id, id AS step_id, user_id, contact_id, stage AS stage_id, body AS title, deal_value AS value, 'open' AS status, "at" AS created_at FROM executed WHERE kind = 'create_deal' AND status = 'success'""")
 def deals_after_runs(spark, sf_dir: str) -> DataFrame:
     """The deals that came; those of before stay as they are."""
-    return effects.deals_created(_executed(spark, sf_dir))
+    return effects.deals_created(_executed(spark, sf_dir, *effects.WRITE, "stage", "body", "deal_value"))
 
 
 @query(
@@ -196,4 +196,4 @@ def deals_after_runs(spark, sf_dir: str) -> DataFrame:
     SELECT id, user_id, contact_id, CASE WHEN closed IS NOT NULL THEN 'closed' ELSE status END AS status, coalesce(who, assigned_agent) AS assigned_agent, closed AS updated_at FROM talks LEFT JOIN last USING (user_id, contact_id)"""
 )
 def conversations_after_runs(spark, sf_dir: str) -> DataFrame:
-    return effects.conversations_after(_executed(spark, sf_dir), _conversations(spark, sf_dir), _profiles(spark, sf_dir))
+    return effects.conversations_after(_executed(spark, sf_dir, *effects.WRITE, "mode", "agent"), _conversations(spark, sf_dir), _profiles(spark, sf_dir))

@@ -114,8 +114,8 @@ _RESUMED_SQL = f"""{q._EXECUTED_SQL}, again AS (SELECT r.* EXCLUDE (parent_id, b
 def resumed_step_log(spark, sf_dir: str) -> DataFrame:
     """Parked runs that are due go on behind their waiting step."""
     r, s = q._runs(spark, sf_dir), q._steps(spark, sf_dir)
-    due = runs.parked(runs.execute(r, s)).filter("run_at <= TIMESTAMP_NTZ '2024-01-31 00:00:00'")
-    return runs.execute(r, s, parked=due).select("event_id", F.col("id").alias("step_id"), "kind", "position", "status")
+    due = runs.parked(runs.execute(r, s, keep=runs.OF_PARKED)).filter("run_at <= TIMESTAMP_NTZ '2024-01-31 00:00:00'")
+    return runs.execute(r, s, parked=due, keep=("position", "status")).select("event_id", F.col("id").alias("step_id"), "kind", "position", "status")
 
 
 def _triggers(spark, sf_dir: str) -> DataFrame:

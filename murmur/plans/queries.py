@@ -535,8 +535,8 @@ def _runs(spark, sf_dir: str) -> DataFrame:
     return runs.dispatch(e, _automations(spark, sf_dir))
 
 
-def _executed(spark, sf_dir: str) -> DataFrame:
-    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir))
+def _executed(spark, sf_dir: str, *keep: str) -> DataFrame:
+    return runs.execute(_runs(spark, sf_dir), _steps(spark, sf_dir), keep=keep)
 
 
 def _level(name: str, source: str) -> str:
@@ -571,28 +571,28 @@ def rule_dispatch(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, id AS step_id, kind, position::INTEGER AS position, branch, status, chosen FROM executed")
 def step_log(spark, sf_dir: str) -> DataFrame:
-    return _executed(spark, sf_dir).select("event_id", F.col("id").alias("step_id"), "kind", "position", "branch", "status", "chosen")
+    return _executed(spark, sf_dir, "position", "branch", "status").select("event_id", F.col("id").alias("step_id"), "kind", "position", "branch", "status", "chosen")
 
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, id AS step_id, kind, body FROM executed WHERE kind IN ('send_message', 'send_webhook') AND status = 'success'")
 def step_outbox(spark, sf_dir: str) -> DataFrame:
-    return runs.outbox(_executed(spark, sf_dir))
+    return runs.outbox(_executed(spark, sf_dir, "status", "body"))
 
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, parent_id, branch, (position + 1)::INTEGER AS next_position, run_at FROM executed WHERE status = 'partial'")
 def parked_steps(spark, sf_dir: str) -> DataFrame:
-    return runs.parked(_executed(spark, sf_dir)).drop("way", "above")
+    return runs.parked(_executed(spark, sf_dir, *runs.OF_PARKED)).drop("way", "above")
 
 
 @query(f"{_EXECUTED_SQL} SELECT event_id, automation_id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'partial') THEN 'partial' ELSE 'success' END AS status, count(*) AS n_steps, string_agg(id || ':' || status, ',' ORDER BY parent_id, branch, position) AS steps FROM executed GROUP BY ALL")
 def run_log(spark, sf_dir: str) -> DataFrame:
-    return runs.run_log(_executed(spark, sf_dir))
+    return runs.run_log(_executed(spark, sf_dir, "parent_id", "branch", "position", "status"))
 
 
 @query(f"{_EXECUTED_SQL} SELECT DISTINCT user_id AS contact_id, tag FROM executed WHERE kind = 'add_tag' AND status = 'success' AND (user_id, tag) NOT IN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0)")
 def engine_added_tags(spark, sf_dir: str) -> DataFrame:
     held = views.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("contact_id"), F.col("o_orderpriority").alias("tag")).distinct()
-    return runs.added_tags(_executed(spark, sf_dir), held)
+    return runs.added_tags(_executed(spark, sf_dir, "contact_id", "tag", "status"), held)
 
 
 _STEPS_SQL = _EXECUTED_SQL[_EXECUTED_SQL.index("placed AS (SELECT *, min"):_EXECUTED_SQL.index("  top_all AS")].rstrip().rstrip(",")
