@@ -61,14 +61,20 @@ def broadcast_preview(body: Column, variables: Column, contact: Column, fields:
     the product's editor replaces; what a value brings can be replaced again.
     """
 
-    def value(mark: Column) -> Column:
-        v = F.try_element_at(variables, F.regexp_extract(mark, r"\d+", 0))
+    def value(mark: Column, v: Column, given: Column) -> Column:
         name = F.nullif(v["value"], F.lit(""))
-        found = F.when(v["type"] == "static", name).when(v["type"] == "field", F.try_element_at(contact, name)).when(v["type"] == "custom_field", F.nullif(F.try_element_at(fields, name), F.lit("")))
+        found = F.when(v["type"] == "static", name).when(v["type"] == "field", F.try_element_at(given["contact"], name)).when(v["type"] == "custom_field", F.nullif(F.try_element_at(given["fields"], name), F.lit("")))
         return F.coalesce(found, mark)
 
     def unfolded(text: Column, mark: Column) -> Column:
         signs = F.transform(F.regexp_extract_all(text, F.lit(r"(\$[$&])"), F.lit(1)), lambda s: F.when(s == "$$", "$").otherwise(mark))
-        return F.array_join(F.zip_with(F.split(text, r"\$[$&]", -1), signs, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+        joined = F.array_join(F.zip_with(F.split(text, r"\$[$&]", -1), signs, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("$")), joined).otherwise(text)
 
-    return F.aggregate(marks(body), body, lambda text, mark: F.replace(text, mark, unfolded(value(mark), mark)))
+    def texts(given: Column) -> Column:
+        found = F.transform(marks(body), lambda mark: F.struct(mark.alias("mark"), F.try_element_at(given["variables"], F.regexp_extract(mark, r"\d+", 0)).alias("v")))
+        return F.transform(found, lambda p: F.struct(p["mark"].alias("mark"), value(p["mark"], p["v"], given).alias("text")))
+
+    # in a lambda an expression is computed at each of its uses, so the maps, what they hold and the values are elements of arrays
+    once = F.array(F.struct(variables.alias("variables"), contact.alias("contact"), fields.alias("fields")))
+    return F.aggregate(F.get(F.transform(once, texts), F.lit(0)), body, lambda text, p: F.replace(text, p["mark"], unfolded(p["text"], p["mark"])))
