@@ -30,6 +30,19 @@ def dealt(rows: DataFrame, n_rows: int, *keys: str) -> DataFrame:
     return rows.repartition(parts, *keys) if parts > usual else rows
 
 
+#: Rows that make a task worth its start.
+LEAST_ROWS = 20_000
+
+
+def fixed(rows: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """rows dealt like ``dealt``, but small ones too: their number of partitions is theirs for good, so what is kept of them is joined where it is.
+
+    Partitions that Spark may coalesce are dealt anew for each join.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(-(-n_rows // TASK_ROWS), min(usual, -(-n_rows // LEAST_ROWS)), 1), *keys)
+
+
 def placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """rows with ordinal: their place from 0 within their group, in the order given.
 

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from murmur.functions.dates import wait_ms, within_window
 from murmur.functions.text import PLACEHOLDER, interpolate, ordered_values
-from murmur.operators.lineage import cut, dealt
+from murmur.operators.lineage import cut, fixed
 from murmur.operators.rules import rule_matches
 
 # The fields of a contact that a step may set.
@@ -138,7 +138,7 @@ def execute(runs: DataFrame, steps: DataFrame, contacts: DataFrame | None = None
     steps = steps.withColumns({c: F.expr(x) for c, x in OPTIONAL.items() if c not in steps.columns})
     n_steps, n_runs = steps.count(), runs.count()
     # all levels join the same steps: dealt and marked once, and kept by the executors until the last level is written
-    marked = _marked(dealt(steps.select(*STEP, *OPTIONAL), n_steps + n_runs, *SCOPE)).persist(StorageLevel.DISK_ONLY)
+    marked = _marked(fixed(steps.select(*STEP, *OPTIONAL), n_steps + n_runs, *SCOPE)).persist(StorageLevel.DISK_ONLY)
     try:
         return _levels(marked, n_steps, n_runs, runs, contacts, contact_tags, conversations, parked, keep)
     finally:
@@ -165,8 +165,9 @@ def _levels(steps: DataFrame, n_steps: int, n_runs: int, runs: DataFrame, contac
     below = ("user_id", "contact_id", "conversation_id", "at", "text", "vars", "trigger", "fields", "tags")
     done, n_open = None, n_runs
     while True:
-        # runs and steps are dealt alike, so that the steps stay where they are
-        rows = dealt(scopes, max(n_open, n_runs) + n_steps, *SCOPE).join(steps, list(SCOPE)).filter(_reached(conversations is not None))
+        # runs and steps are dealt alike, so that the steps stay where they are; only scopes that double the rows deal both anew
+        usual, now = n_steps + n_runs, n_steps + n_open
+        rows = fixed(scopes, now if now > 2 * usual else usual, *SCOPE).join(steps, list(SCOPE)).filter(_reached(conversations is not None))
         rows = rows.withColumns(made).withColumn("status", _status(conversations is not None))
         # what only the levels below a condition read is written with conditions alone
         rows = cut(rows.select(*[F.col(c) if c in kept else F.when(F.col("kind") == "condition", F.col(c)).alias(c) for c in names if c in kept or c in below]))

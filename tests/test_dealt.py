@@ -81,3 +81,39 @@ def test_scopes_stop_where_a_fold_stops_and_levels_are_dealt(spark, monkeypatch)
         on = r.select("event_id", "automation_id", F.lit(-1).cast("long").alias("parent_id"), F.lit("").alias("branch"), F.lit(4).alias("next_position"))
         got = runs.execute(r, s, parked=on, keep=("status",)).select("event_id", "id", "status")
         assert sorted(map(tuple, got.collect())) == sorted(x for run in r.collect() for x in _fold(run, scope, False, 4))
+
+
+def _over_kept(plan):
+    """Whether the steps that are kept are dealt anew in a plan: an exchange right above their scan."""
+    lines = plan.splitlines()
+    for at in (i for i, line in enumerate(lines) if "InMemoryTableScan" in line):
+        while at > 0 and any(w in lines[at] for w in ("InMemoryTableScan", "TableCacheQueryStage", "Filter", "Project", "Sort ", "AQEShuffleRead", "ShuffleQueryStage", "Exchange")):
+            if "Exchange" in lines[at]:
+                return True
+            at -= 1
+    return False
+
+
+def test_kept_steps_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "LEAST_ROWS", 5, raising=False)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setitem(_Conf(spark), "spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setitem(_Conf(spark), "spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    steps = [_step(1, 1, 0, "condition", "hi"), _step(2, 1, 0, "condition", "hi", 1, "yes"), _step(3, 1, 0, "add_tag", parent=2, branch="no"), _step(4, 1, 1, "add_tag", parent=1, branch="no")]
+    plans, cut = [], runs.cut
+
+    def noted(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return cut(rows)
+
+    monkeypatch.setattr(runs, "cut", noted)
+    # more partitions than cores, which Spark coalesces
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = runs.execute(_runs(spark, ["hi", "yo"] * 10), spark.createDataFrame(steps, STEP), keep=("status",))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(plans) > 1 and all("InMemoryTableScan" in p for p in plans)
+    assert not any(_over_kept(p) for p in plans[1:])
+    # 4 steps and 20 runs, 5 rows a task: what levels join is dealt by its rows, not to 40 partitions that are coalesced
+    assert got.rdd.getNumPartitions() == 5 * len(plans) and got.groupBy("id").count().count() >= 3
